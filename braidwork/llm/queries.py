@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, packing
+from . import language_id, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": packing.query,
+    "op7_toxicity": toxicity.query,
     "op9_language_id": language_id.query,
 }
 ORACLES: dict[str, str] = {}
