@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, packing, toxicity
+from . import language_id, line_dedup, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": line_dedup.query,
     "op3_packing": packing.query,
     "op7_toxicity": toxicity.query,
     "op9_language_id": language_id.query,
