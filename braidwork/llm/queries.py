@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, line_dedup, near_dedup, packing, toxicity
+from . import decontamination, language_id, line_dedup, near_dedup, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": line_dedup.query,
@@ -14,5 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_near_dedup": near_dedup.query,
     "op7_toxicity": toxicity.query,
     "op9_language_id": language_id.query,
+    "op10_decontamination": decontamination.query,
+}
+ORACLES: dict[str, str] = {
+    "op10_decontamination": decontamination.ORACLE,
 }
-ORACLES: dict[str, str] = {}
