@@ -53,21 +53,11 @@ def crc_mod(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n if isinstance(doc_id, str) else F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered for a bounded number of words."""
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    from xxhash import xxh3_64_intdigest
 
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word)
-        return out
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 _A = np.uint64(0x9E3779B97F4A7C15)

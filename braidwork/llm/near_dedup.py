@@ -46,9 +46,9 @@ def _functions(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     return a, rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 
 
-def shingles(text: str | None, hashes: common.WordHashes, words: int = WORDS) -> np.ndarray:
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The distinct hashes of a text's shingles, in order."""
-    return np.unique(common.shingle_hashes(hashes.of(common.byte_words(text)), words))
+    return np.unique(common.shingle_hashes(common.word_hashes(common.byte_words(text)), words))
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -102,12 +102,11 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
         )
 
     def run(batches):
-        hashes = common.WordHashes()
         for batch in batches:
             ids, sets, held = [], [], 0
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids.append(doc_id)
-                sets.append(shingles(text.as_py(), hashes, words))
+                sets.append(shingles(text.as_py(), words))
                 held += len(sets[-1])
                 if held > AT_ONCE:
                     yield flush(ids, sets)
@@ -122,11 +121,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(node, set) of the wanted documents."""
 
     def run(batches):
-        hashes = common.WordHashes()
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
-                sets = [shingles(t.as_py(), hashes, words).view(np.int64) for t in part.column("text")]
+                sets = [shingles(t.as_py(), words).view(np.int64) for t in part.column("text")]
                 sizes = pa.array(np.cumsum([0, *(len(s) for s in sets)]), pa.int32())
                 yield pa.record_batch([part.column("doc_id"), pa.ListArray.from_arrays(sizes, pa.array(np.concatenate(sets)))], names=["node", "set"])
 
