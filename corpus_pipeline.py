@@ -1,10 +1,15 @@
-"""Language ID, line dedup, near-dedup, decontamination and packing, one after the other."""
+"""Language ID, line dedup, near-dedup, decontamination and packing, one after the other.
+
+Each stage gets what its predecessor kept, all of it, with the columns of documents; the last returns
+the packed pieces. A document whose lines are all repeats of earlier ones stays, with an empty text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from braidwork.llm import language_id
+from braidwork.llm import decontamination, language_id, line_dedup, near_dedup, packing
 from braidwork.llm.common import documents, written
 from braidwork.session import ship
 
@@ -15,9 +20,39 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language_id.filter_known(docs, language_id.fit(docs.where(~language_id.held_out())))
 
 
-STAGES = [("language ID", known_language)]
+def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that an earlier line resembles; n_chars follows the text."""
+    ship(spark)
+    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near-duplicates."""
+    ship(spark)
+    return near_dedup.dedup(docs)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    ship(spark)
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens, with their sequence and place."""
+    ship(spark)
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("line dedup", unrepeated_lines),
+    ("MinHash near-dedup", one_of_each_group),
+    ("benchmark decontamination", uncontaminated),
+    ("best-fit packing", packed),
+]
 
-ORACLE_SQL = None  # the stages learn models and pack bins, which SQL does not express
+ORACLE_SQL = None  # language models and the vocabulary's merges are not SQL's to express
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
