@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, line_dedup, near_dedup, packing, toxicity
+from . import decontamination, fingerprints, language_id, line_dedup, near_dedup, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": line_dedup.query,
     "op3_packing": packing.query,
+    "op4_fingerprints": fingerprints.query,
     "op6_near_dedup": near_dedup.query,
     "op7_toxicity": toxicity.query,
     "op9_language_id": language_id.query,
