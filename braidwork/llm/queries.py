@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, language_id, line_dedup, lm_scoring, near_dedup, packing, suffix_dedup, toxicity
+from . import chat_format, decontamination, fingerprints, language_id, line_dedup, lm_scoring, near_dedup, packing, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -16,9 +16,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_lm_scoring": lm_scoring.query,
     "op6_near_dedup": near_dedup.query,
     "op7_toxicity": toxicity.query,
+    "op8_chat_format": chat_format.query,
     "op9_language_id": language_id.query,
     "op10_decontamination": decontamination.query,
 }
 ORACLES: dict[str, str] = {
+    "op8_chat_format": chat_format.ORACLE,
     "op10_decontamination": decontamination.ORACLE,
 }
