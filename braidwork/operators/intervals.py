@@ -15,7 +15,7 @@ def containing(points: DataFrame, intervals: DataFrame, keys: list[str], at: str
     """
     width = F.col(hi) - F.col(lo)
     sized = intervals.where(width > 0).withColumn("__k", F.ceil(F.log2(width.cast("double"))).cast("int"))
-    sized = sized.withColumn("__k", F.when(F.shiftleft(F.lit(1).cast("long"), F.col("__k")) < width, F.col("__k") + 1).otherwise(F.col("__k")))
+    sized = sized.withColumn("__k", F.when(F.expr("shiftleft(1L, __k)") < width, F.col("__k") + 1).otherwise(F.col("__k")))
     cells = F.array_distinct(F.array(F.expr(f"shiftright(cast(`{lo}` as bigint), __k)"), F.expr(f"shiftright(cast(`{hi}` as bigint) - 1, __k)")))
     right = sized.withColumn("__cell", F.explode(cells))
     kinds = sized.select("__k").distinct()  # one row for each power of two
