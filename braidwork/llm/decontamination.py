@@ -36,6 +36,7 @@ RADIUS = 15
 BLOCKS = RADIUS + 1
 #: Words of a benchmark that may be broadcast: its shingles are at most as many rows of 20 bytes.
 BROADCAST = 2_000_000
+FIRST = -(1 << 63)
 
 
 def _grams(words: str, k: int) -> F.Column:
@@ -92,11 +93,13 @@ def windows(docs: DataFrame, items: DataFrame, small: bool) -> DataFrame:
 
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, start, n_words, similarity): the most similar window of each pair, the first of equals."""
-    items = benchmark.select("item_id", common.words_of("text").alias("words")).where(F.size("words") > 0)
+    id_of = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(FIRST)).alias(c)
+    null_again = lambda c: F.when(F.col(c) != FIRST, F.col(c)).alias(c)
+    items = benchmark.select(id_of("item_id"), common.words_of("text").alias("words")).where(F.size("words") > 0)
     items = common.written(items.withColumn("n", F.size("words")), "items")
     small = (items.agg(F.sum("n")).first()[0] or 0) <= BROADCAST
     hint = F.broadcast if small else (lambda df: df)
-    found = common.written(windows(docs.select("doc_id", "text"), items, small), "windows")
+    found = common.written(windows(docs.select(id_of("doc_id"), "text"), items, small), "windows")
     keys = ["doc_id", "start", "n"]
     left = _blocks(_fingerprints(found, keys))
     right = _blocks(_fingerprints(items, ["item_id", "n"])).withColumnRenamed("fp", "item_fp")
@@ -107,7 +110,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     least = shared.groupBy(*keys, "item_id", "w_total", "total").agg(F.sum(F.least("w_times", "times")).alias("least"))
     alike = least.withColumn("similarity", F.col("least") / (F.col("w_total") + F.col("total") - F.col("least"))).where(F.col("similarity") >= similarity)
     best = alike.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("start", "n", "similarity"), F.struct("similarity", -F.col("start"))).alias("m"))
-    return best.select("doc_id", "item_id", F.col("m.start").cast("long").alias("start"), F.col("m.n").cast("long").alias("n_words"), F.col("m.similarity").alias("similarity"))
+    return best.select(null_again("doc_id"), null_again("item_id"), F.col("m.start").cast("long").alias("start"), F.col("m.n").cast("long").alias("n_words"), F.col("m.similarity").alias("similarity"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

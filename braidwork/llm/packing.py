@@ -204,8 +204,8 @@ def reduced(counts: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int,
             fixed.append(({j: 1}, n))
             stock.take(j, n - 1)
         elif k == room or two is None or two > room or ((three is None or three > room) and stock.best_pair(room) <= k):
-            # an exact fill stays the best for as long as there are both; other reasons are looked at anew
-            times = 1 if k != room else n // 2 if k == j else min(n, stock.left[k])
+            # as long as there are both: with fewer pieces about, nothing else comes to fit
+            times = n // 2 if k == j else min(n, stock.left[k])
             fixed.append(({j: 2} if k == j else {j: 1, k: 1}, times))
             stock.take(j, 2 * times - 1 if k == j else times - 1)
             if k != j:
