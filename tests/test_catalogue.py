@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SMALL, same_rows
+from .conftest import SMALL, same_rows
 
 import __spark_entry__ as entry
 from braidwork.plans import catalogue
