@@ -30,9 +30,9 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: lineage is cut, and a lost executor costs nothing that is done."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/braidwork/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     gc.collect()
-    spark.sparkContext._jvm.System.gc()  # frees the shuffle files of what is written, which else wait for the driver's next collection
+    spark.sparkContext._jvm.System.gc()  # frees the shuffle files of the tables before, which else wait for the driver's next collection
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
