@@ -27,6 +27,7 @@ ORDER = 5
 SAMPLE_PER_LANGUAGE = 1000
 #: Characters that are worked on at once; longer texts are cut there, with ORDER - 1 characters again.
 AT_ONCE = 400_000
+#: A table is looked up by as many leading bits of a hash as its size has, up to this.
 RADIX = 20
 _SPACE = np.uint32(32)
 
@@ -36,9 +37,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     try:
         return _LOWER, _ALPHA
     except NameError:
-        chars = [chr(i) for i in range(0x110000)]
-        _ALPHA = np.fromiter((c.isalpha() for c in chars), bool, len(chars))
-        _LOWER = np.fromiter((ord(d) if len(d := c.lower()) == 1 else ord(c) for c in chars), np.uint32, len(chars))
+        n = 0x110000
+        _ALPHA = np.fromiter((chr(i).isalpha() for i in range(n)), bool, n)
+        _LOWER = np.fromiter((ord(d) if len(d := chr(i).lower()) == 1 else i for i in range(n)), np.uint32, n)
         return _LOWER, _ALPHA
 
 
@@ -73,7 +74,9 @@ class Table:
     values: np.ndarray
 
     def __post_init__(self) -> None:
-        self.starts = np.searchsorted(self.keys >> np.uint64(64 - RADIX), np.arange((1 << RADIX) + 1, dtype=np.uint64)).astype(np.int32)
+        bits = min(RADIX, max(1, len(self.keys).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(self.keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
         self.most = int(np.diff(self.starts).max()) if len(self.keys) else 0
 
     def __getstate__(self) -> dict:
@@ -88,7 +91,7 @@ class Table:
         out = np.full(len(h), -1, np.int32)
         if not len(self.keys):
             return out
-        at = self.starts[h >> np.uint64(64 - RADIX)]
+        at = self.starts[h >> self.shift]
         for _ in range(self.most):
             ok = at < len(self.keys)
             hit = self.keys[np.where(ok, at, 0)] == h
