@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import written
 
 
-def reachable(edges: DataFrame, roots: DataFrame, keys: list[str] | None = None, tag: str = "reached") -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, keys: list[str] | None = None, tag: str = "reached", allow: Column | None = None) -> DataFrame:
     """(*keys, node, depth): what can be reached from roots (*keys, node) along edges (*edge keys, src, dst).
 
     Semi-naive: each round joins only the last round's nodes, and what is visited is taken out by an
-    anti-join. Edges may carry a subset of ``keys``; those are joined too. Every round's nodes
+    anti-join. Edges may carry a subset of ``keys``; those are joined too. ``allow`` is a condition on a step,
+    over keys and the edge's columns. Every round's nodes
     are a table in the shared folder, so lineage doesn't grow and no node comes to the driver.
     """
     keys = keys or []
@@ -21,7 +22,7 @@ def reachable(edges: DataFrame, roots: DataFrame, keys: list[str] | None = None,
     seen, depth = frontier, 0
     while not frontier.isEmpty():
         depth += 1
-        step = frontier.drop("depth").withColumnRenamed("node", "src").join(edges, [*shared, "src"]).select(*keys, F.col("dst").alias("node")).distinct()
+        step = frontier.drop("depth").withColumnRenamed("node", "src").join(edges, [*shared, "src"]).where(F.lit(True) if allow is None else allow).select(*keys, F.col("dst").alias("node")).distinct()
         frontier = written(step.join(seen.select(*keys, "node"), [*keys, "node"], "left_anti").withColumn("depth", F.lit(depth)), tag)
         seen = seen.unionByName(frontier)
     return seen
