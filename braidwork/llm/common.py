@@ -30,8 +30,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: lineage is cut, and a lost executor costs nothing that is done."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/braidwork/{tag}-{uuid.uuid4().hex}"
+    # Shuffle files of the tables before go when the driver collects its garbage, which may be never. The event
+    # queue holds on to the plan of the last query until another one comes.
+    spark.range(1).count()
     gc.collect()
-    spark.sparkContext._jvm.System.gc()  # frees the shuffle files of the tables before, which else wait for the driver's next collection
+    spark.sparkContext._jvm.System.gc()
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
