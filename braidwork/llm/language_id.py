@@ -24,7 +24,7 @@ from . import common
 
 ORDER = 5
 #: Labelled documents that each language's model learns from, about: the bound of the sample.
-SAMPLE_PER_LANGUAGE = 1000
+SAMPLE_PER_LANGUAGE = 600
 #: Characters that are worked on at once; longer texts are cut there, with ORDER - 1 characters again.
 AT_ONCE = 400_000
 #: A table is looked up by as many leading bits of a hash as its size has, up to this.
@@ -221,6 +221,16 @@ def _counted(batches):
             yield pa.record_batch({"lang": pa.array([lang] * len(first)), "gram": pa.array([x.tobytes() for x in own], pa.binary()), "n": pa.array(n, pa.int64())})
 
 
+def _packed(batches):
+    """Each language's grams and counts of a batch as two strings of bytes."""
+    for batch in batches:
+        lang = np.array(batch.column("lang").to_pylist(), object)
+        grams = np.frombuffer(b"".join(batch.column("gram").to_pylist()), "<u4").reshape(-1, ORDER)
+        n = batch.column("n").to_numpy(zero_copy_only=False).astype("<i8")
+        names = sorted(set(lang))
+        yield pa.record_batch({"lang": pa.array(names, pa.string()), "grams": pa.array([grams[lang == x].tobytes() for x in names], pa.binary()), "n": pa.array([n[lang == x].tobytes() for x in names], pa.binary())})
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Model:
     """labelled: doc_id, text, lang. About ``sample`` documents of each language are learned from, chosen
     by a hash of their id; an eighth of them calibrates the score and the rejection."""
@@ -230,14 +240,17 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Model:
     chosen = rows.join(F.broadcast(share), "lang").withColumn("place", place * F.col("rows")).where(F.col("place") < sample).drop("rows")
     chosen = common.written(chosen, "language-sample")
     fitted = chosen.where(F.col("place") < sample * 0.875)
-    grams = fitted.select("lang", "text").mapInArrow(_counted, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    names = sorted(grams["lang"].unique())
+    counted = fitted.select("lang", "text").mapInArrow(_counted, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for r in counted.mapInArrow(_packed, "lang string, grams binary, n binary").collect():  # in all as large as the sample's distinct grams
+        found.setdefault(r["lang"], []).append((np.frombuffer(r["grams"], "<u4").reshape(-1, ORDER), np.frombuffer(r["n"], "<i8")))
+    names = sorted(found)
     if not names:
         return Model([], [], Table(np.zeros(0, np.uint64), np.zeros((0, 0), np.float32)))
-    rows_of = lambda f: np.frombuffer(b"".join(f["gram"]), "<u4").reshape(-1, ORDER)
-    every = rows_of(grams)
+    own = {name: (np.concatenate([g for g, _ in found[name]]), np.concatenate([n for _, n in found[name]])) for name in names}
+    every = np.concatenate([own[name][0] for name in names])
     alphabet = len(np.unique(every)) + 1
-    models = [KneserNey.fit(rows_of(own := grams[grams["lang"] == name]), own["n"].to_numpy(), alphabet) for name in names]
+    models = [KneserNey.fit(*own[name], alphabet) for name in names]
     h, first = np.unique(_hash_rows(every), return_index=True)
     logs = np.stack([np.log(m.probability(every[first])) for m in models], 1).astype(np.float32)
     model = Model(names, models, Table(h, logs))
@@ -248,12 +261,12 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Model:
         ok = (size > 0) & (truth >= 0)
         e, truth = e[ok], truth[ok]
         if len(e):
-            own = e[np.arange(len(e)), truth]
-            fits = [(-np.log(np.exp((own[:, None] - e) * t).sum(1)).mean(), -t) for t in (1, 2, 4, 8, 16, 32, 64)]
+            true = e[np.arange(len(e)), truth]
+            fits = [(-np.log(np.exp((true[:, None] - e) * t).sum(1)).mean(), -t) for t in (1, 2, 4, 8, 16, 32, 64)]
             model.temperature = float(-max(fits)[1])
             # far beyond what any held-back text of the language shows, and no better than a guess among all characters
-            worst = np.array([own[truth == k].max(initial=0.0) for k in range(len(names))])
-            model.limits = np.maximum(worst + np.array([3 * own[truth == k].std() if (truth == k).any() else np.inf for k in range(len(names))]), np.log(alphabet))
+            worst = np.array([true[truth == k].max(initial=0.0) for k in range(len(names))])
+            model.limits = np.maximum(worst + np.array([3 * true[truth == k].std() if (truth == k).any() else np.inf for k in range(len(names))]), np.log(alphabet))
     return model
 
 
