@@ -237,9 +237,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Model:
     rows = labelled.where("lang is not null").select("doc_id", "text", "lang")
     share = rows.groupBy("lang").agg(F.count("*").alias("rows"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.join(F.broadcast(share), "lang").withColumn("place", place * F.col("rows")).where(F.col("place") < sample).drop("rows")
+    chosen = rows.join(F.broadcast(share), "lang").withColumn("place", place * F.col("rows")).where(F.col("place") < sample)
+    chosen = chosen.withColumn("held", F.col("place") >= F.least("rows", F.lit(sample)) * 0.875).drop("rows", "place")
     chosen = common.written(chosen, "language-sample")
-    fitted = chosen.where(F.col("place") < sample * 0.875)
+    fitted = chosen.where("not held")
     counted = fitted.select("lang", "text").mapInArrow(_counted, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     for r in counted.mapInArrow(_packed, "lang string, grams binary, n binary").collect():  # in all as large as the sample's distinct grams
@@ -254,7 +255,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Model:
     h, first = np.unique(_hash_rows(every), return_index=True)
     logs = np.stack([np.log(m.probability(every[first])) for m in models], 1).astype(np.float32)
     model = Model(names, models, Table(h, logs))
-    held = chosen.where(F.col("place") >= sample * 0.875).select("lang", "text").toPandas()
+    held = chosen.where("held").select("lang", "text").toPandas()
     if len(held):
         e, size = model.entropies(list(held["text"]))
         truth = np.array([names.index(x) if x in names else -1 for x in held["lang"]])

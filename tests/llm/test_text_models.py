@@ -155,7 +155,7 @@ def test_lm_learns_order(spark):
         rows.append((k, " ".join(out)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [r for r in lm_scoring.score(docs, *lm_scoring.fit(docs.where(~lm_scoring.held_out()))).collect() if zlib.crc32(str(r.doc_id).encode()) % 7 == 2]
-    assert sum(r.score for r in got) > 0.8 * sum(r.base_score for r in got)
+    assert sum(r.score for r in got) > 0.9 * sum(r.base_score for r in got)
 
 
 def test_lm_without_texts(spark):
