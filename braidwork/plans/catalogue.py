@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import audits, graphs, intervals, prefixes, state, tiers
+from . import code
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -406,3 +407,64 @@ def multiset_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finished minus open orders by customer and priority, as multisets."""
     of = lambda s: table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == s).select("o_custkey", "o_orderpriority")
     return of("F").exceptAll(of("O"))
+
+
+_CODE_EDGES = _EDGES + """,
+d as (select distinct src, dst from edges),
+i as (select src, dst, 'c' || dst || '.dart' as uri, sum(strlen('import ''c' || dst || '.dart'';') + 1) over (partition by src order by dst) - strlen('import ''c' || dst || '.dart'';') - 1 as byte_start from d)
+"""
+
+
+def _project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer graph as a source tree: a file for each customer, with an import for each edge and a class."""
+    edges = _edges(spark, sf_dir).select("src", "dst").distinct()
+    lines = F.transform(F.sort_array(F.collect_list("dst")), lambda x: F.concat(F.lit("import 'c"), x.cast("string"), F.lit(".dart';\n")))
+    imports = edges.groupBy("src").agg(F.array_join(lines, "").alias("imports"))  # one file's own
+    files = table(spark, sf_dir, "customer").select("c_custkey").join(imports, F.col("c_custkey") == F.col("src"), "left")
+    source = F.concat(F.coalesce("imports", F.lit("")), F.lit("class C"), F.col("c_custkey").cast("string"), F.lit(" {}\n"))
+    return files.select(F.lit("customers").alias("project_id"), F.lit("dart").alias("kind"), F.concat(F.lit("lib/c"), "c_custkey", F.lit(".dart")).alias("path"), source.alias("source"))
+
+
+@_registered(f"""
+with {_CODE_EDGES}
+select 'lib/c' || src || '.dart' as source_path, uri, 'import' as kind, byte_start::bigint as byte_start, 'resolved' as resolution, 'lib/' || uri as target_path from i
+""")
+def code_uri_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source text to resolved import edges: masking, directives, relative URIs, spans."""
+    inputs = _project(spark, sf_dir)
+    facts = code.written(code.extracted(inputs), "facts")
+    return code.uri_edges(facts, inputs).select("source_path", "uri", "kind", F.col("span.byte_start").alias("byte_start"), "resolution", "target_path")
+
+
+@_registered(f"""
+with {_CODE_EDGES}
+select 'lib/c' || c_custkey || '.dart' as source_path, 'C' || name as name, case when c_custkey = name then 'resolved' when d.src is not null then 'resolved' else 'not_visible' end as status,
+       case when c_custkey = name then 'same_file' when d.src is not null then 'direct_import' end as basis
+from (select c_custkey, c_custkey as name from customer union select src, dst from d union select dst, src from d) q left join d on d.src = q.c_custkey and d.dst = q.name
+""")
+def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names resolved through files, libraries and imports: own classes, imported ones, and those of importers."""
+    inputs = _project(spark, sf_dir)
+    facts = code.written(code.extracted(inputs), "facts")
+    edges = code.written(code.uri_edges(facts, inputs), "uri-edges")
+    key = lambda c: F.regexp_extract(c, r"c(\d+)\.dart$", 1)
+    pairs = edges.select(F.col("source_path").alias("a"), F.col("target_path").alias("b"))
+    own = facts.select(F.col("path").alias("a"), F.col("path").alias("b"))
+    asked = own.union(pairs).union(pairs.select("b", "a")).distinct()
+    queries = asked.select(F.lit("customers").alias("project_id"), F.col("a").alias("source_path"), F.concat(F.lit("C"), key("b")).alias("name"), F.lit(None).cast("string").alias("prefix"))
+    return code.resolve(facts, edges, queries).select("source_path", "name", "status", "basis")
+
+
+@_registered(f"""
+with recursive {_CODE_EDGES},
+r(node) as (select node from roots union select d.dst from d join r on d.src = r.node)
+select 'orphan_file' as rule_id, 'error' as severity, 'lib/c' || c_custkey || '.dart' as path from customer where c_custkey not in (select node from r)
+""")
+def code_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lint rules over the same tree; only files that no entry point reaches are to be found."""
+    inputs = _project(spark, sf_dir)
+    facts = code.written(code.extracted(inputs), "facts")
+    edges = code.written(code.uri_edges(facts, inputs), "uri-edges")
+    entry = [f"lib/c{r['node']}.dart" for r in _roots(spark, sf_dir).collect()]  # three for each nation
+    config = {"enabled_rules": ["naming_convention", "unresolved_part", "orphan_file", "forbidden_import"], "severity_overrides": {"orphan_file": "error"}, "forbidden_imports": [{"pattern": "dart:", "kind": "prefix"}], "orphan_files": {"entry_points": entry}}
+    return code.lint(facts, edges, config).select("rule_id", "severity", "path")
