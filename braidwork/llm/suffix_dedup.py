@@ -173,7 +173,8 @@ def matches(docs: DataFrame) -> DataFrame:
     """(doc_id, start, end, like_doc_id, first_doc): stretches of words that a neighbour in the suffix array has too."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     retained = common.written(docs.mapInArrow(_retained, "doc_id long, place long, gram long"), "retained")
-    repeated = retained.groupBy("gram").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1").drop("n")
+    # written, so that the join with it is dealt out anew and a gram that very many documents share can be split
+    repeated = common.written(retained.groupBy("gram").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1").drop("n"), "repeated")
     wanted = retained.join(repeated, "gram").groupBy("doc_id").agg(F.collect_set(F.struct("place", "gram", "first_doc")).alias("want"))  # a document's own
     suffixes = docs.where("text is not null").join(wanted, "doc_id").select("doc_id", "text", "want").mapInArrow(_suffixes, _SUFFIX_DDL)
     order = ["gram", "right", "left", "doc_id", "place"]
