@@ -116,3 +116,11 @@ def components(edges: DataFrame, tag: str = "components", rounds: int = 60) -> D
     else:
         raise RuntimeError("components did not settle")
     return e.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
+
+
+_LOW = f"translate(coalesce({{}}, ''), '{UPPER}', '{UPPER.lower()}')"
+
+
+def sql_words(text: str) -> str:
+    """The same words in DuckDB's SQL."""
+    return f"list_filter(regexp_split_to_array({_LOW.format(text)}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"

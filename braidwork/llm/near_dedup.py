@@ -202,3 +202,16 @@ def dedup(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     """op6: doc_id, n_shingles, component_id, kept, with links of 85 in 100 and more."""
     return grouped(common.documents(spark, sf_dir), 85)
+
+
+ORACLE = f"""
+with recursive w as (select doc_id, {common.sql_words('text')} as words from documents),
+sh as (select distinct doc_id, array_to_string(words[p:p + {WORDS - 1}], ' ') as gram from (select doc_id, words, unnest(range(1, greatest(2, len(words) - {WORDS - 2}))) as p from w where len(words) > 0)),
+n as (select doc_id, count(*) as n from sh group by 1),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b on a.gram = b.gram and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from c join n x on a = x.doc_id join n y on b = y.doc_id where 100 * c >= 85 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r(node, seen) as (select doc_id, doc_id from documents union select r.node, e.b from r join e on r.seen = e.a),
+g as (select node, min(seen) as component_id from r group by 1)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, g.component_id, d.doc_id = g.component_id as kept from documents d join g on g.node = d.doc_id left join n on n.doc_id = d.doc_id
+"""

@@ -21,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": decontamination.query,
 }
 ORACLES: dict[str, str] = {
+    "op2_line_dedup": line_dedup.ORACLE,
+    "op6_near_dedup": near_dedup.ORACLE,
     "op8_chat_format": chat_format.ORACLE,
     "op10_decontamination": decontamination.ORACLE,
 }
