@@ -3,29 +3,18 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import shared_dir
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set (tests)."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    own = os.path.join(tempfile.gettempdir(), "braidwork-checkpoints")
-    spark.sparkContext.setCheckpointDir(own)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: lineage is cut, and a lost executor costs nothing that is done."""
     spark = df.sparkSession
