@@ -6,10 +6,11 @@
 2. Suffixes whose first GRAM words occur once have no match and go; the others are read from the
    documents again, with ``REACH`` words to either side.
 3. They are range-partitioned and sorted by the words behind and before, then by document and place, so that equal
-   suffixes, however many, are dealt over many tasks. Neighbours are compared, across tasks too, and
-   matches extended left and right; one of MIN_WORDS words or more is kept. REACH words are enough for that, as the next
-   retained suffix of a longer passage is no further away; its match joins on.
-4. Overlapping and touching matches of a document are one passage.
+   suffixes, however many, are dealt over many tasks. Suffixes equal in all those words are neighbours, and only the first and
+   the last of them in a task go on; the others repeat in every window and are first in none.
+4. Suffixes that go on are equal in some windows of MIN_WORDS words around the gram only, and not always to a neighbour. Each such
+   window belongs to its first least gram; windows are counted by a 64-bit hash, with the least and the greatest place, in partial aggregates.
+5. Overlapping and touching windows of a document are one passage if all of them, or none, are the first of their equals.
 
 Defined cases: null, empty and short texts (fewer than MIN_WORDS words) have no passage; a passage that
 repeats within one document counts as well; rows repeated under one doc_id match each other and give
@@ -21,15 +22,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, line_dedup
 
 MIN_WORDS = 50
 GRAM = 20
 REACH = 32
+#: Grams in a window of MIN_WORDS words.
+SPREAD = MIN_WORDS - GRAM + 1
 FIRST = -(1 << 63)
 
 _BASE = 0x9E3779B97F4A7C15
@@ -80,7 +82,7 @@ def _retained(batches):
         ids, places, grams, held = [], [], [], 0
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             g = gram_hashes(_hashes(text.as_py()), GRAM)
-            at = minimisers(g, MIN_WORDS - GRAM + 1)
+            at = minimisers(g, SPREAD)
             if len(at):
                 ids.append(np.full(len(at), doc_id, np.int64))
                 places.append(at)
@@ -90,12 +92,19 @@ def _retained(batches):
             yield pa.record_batch([pa.array(np.concatenate(ids)), pa.array(np.concatenate(places)), pa.array(np.concatenate(grams).view(np.int64))], names=["doc_id", "place", "gram"])
 
 
-_SUFFIX = pa.schema([("gram", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("doc_id", pa.int64()), ("place", pa.int64()), ("first_doc", pa.int64())])
-_SUFFIX_DDL = "gram long, right binary, left binary, doc_id long, place long, first_doc long"
+_SUFFIX = pa.schema([("gram", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("doc_id", pa.int64()), ("place", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
+_SUFFIX_DDL = "gram long, right binary, left binary, doc_id long, place long, start long, n long"
+
+
+def owners(grams: np.ndarray, window: int) -> np.ndarray:
+    """The first least position of each window of that many; it never falls."""
+    views = np.lib.stride_tricks.sliding_window_view(grams, window) if len(grams) >= window else np.zeros((0, window), np.uint64)
+    parts = [lo + np.arange(len(v)) + v.argmin(1) for lo in range(0, len(views), 2000) for v in (views[lo : lo + 2000],)]  # argmin copies
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def _suffixes(batches):
-    """The words after and, in reverse, before each wanted gram: four bytes of hash each."""
+    """The words after and, in reverse, before each wanted gram, four bytes of hash each, and the n windows from start on that it is the first least gram of."""
     for batch in batches:
         for lo in range(0, len(batch), 100):
             rows: list[tuple] = []
@@ -103,100 +112,91 @@ def _suffixes(batches):
             for doc_id, text, want in zip(part.column("doc_id").to_pylist(), part.column("text"), part.column("want").to_pylist(), strict=True):
                 h = _hashes(text.as_py())
                 raw = (h >> np.uint64(32)).astype(">u4")
-                grams = gram_hashes(h, GRAM).view(np.int64)
-                for w in want:
+                unsigned = gram_hashes(h, GRAM)
+                grams, own = unsigned.view(np.int64), owners(unsigned, SPREAD)
+                at = np.array([w["place"] for w in want], np.int64)
+                starts, stops = np.searchsorted(own, at).tolist(), np.searchsorted(own, at, "right").tolist()
+                for w, start, stop in zip(want, starts, stops, strict=True):
                     k = w["place"]
-                    if k < len(grams) and grams[k] == w["gram"]:  # else it is of another row of this doc_id
-                        rows.append((w["gram"], raw[k + GRAM : k + GRAM + REACH].tobytes(), raw[max(0, k - REACH) : k][::-1].tobytes(), doc_id, k, w["first_doc"]))
+                    if start < stop and k < len(grams) and grams[k] == w["gram"]:  # else it is of another row of this doc_id
+                        rows.append((w["gram"], raw[k + GRAM : k + GRAM + REACH].tobytes(), raw[max(0, k - REACH) : k][::-1].tobytes(), doc_id, k, start, stop - start))
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SUFFIX.types, strict=True)], schema=_SUFFIX)
 
 
-def _matrix(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    size = np.array([len(c) for c in contexts]) // 4
-    return np.frombuffer(b"".join(c.ljust(4 * REACH, b"\0") for c in contexts), ">u4").reshape(-1, REACH), size
-
-
-def _common(contexts: list[bytes]) -> np.ndarray:
-    """How many leading words each context shares with the next."""
-    words, size = _matrix(contexts)
-    same = np.logical_and.accumulate(words[1:] == words[:-1], axis=1).sum(1)
-    return np.minimum(same, np.minimum(size[1:], size[:-1]))
-
+def _sums(contexts: list[bytes], factors: np.ndarray) -> np.ndarray:
+    """A hash of each context's first 0, 1, 2, ... words."""
+    words = np.frombuffer(b"".join(c.ljust(4 * REACH, b"\0") for c in contexts), ">u4").reshape(-1, REACH).astype(np.uint64)
+    return np.cumsum(np.concatenate([np.zeros((len(words), 1), np.uint64), common.mixed(words + np.uint64(1)) * factors], 1), axis=1, dtype=np.uint64)
 
-_MATCH = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("like_doc_id", pa.int64()), ("first_doc", pa.int64())])
-_WALK = pa.schema([*_MATCH, ("range", pa.int32()), ("is_last", pa.bool_()), *(f.with_name("s_" + f.name) for f in _SUFFIX)])
-_WALK_DDL = "doc_id long, start long, end long, like_doc_id long, first_doc long, range int, is_last boolean, s_gram long, s_right binary, s_left binary, s_doc_id long, s_place long, s_first_doc long"
 
+_FACTORS = common.mixed(np.arange(1, 2 * REACH + 1, dtype=np.uint64)) | np.uint64(1)
+_WINDOW_DDL = "doc_id long, start int, n int, windows array<long>"
 
-def _matches(rows: dict[str, list]) -> pa.RecordBatch:
-    """The matches of neighbouring rows, once for each of the two."""
-    gram, doc, place, first = (np.array(rows[c], np.int64) for c in ("gram", "doc_id", "place", "first_doc"))
-    right, left = _common(rows["right"]), _common(rows["left"])
-    ok = np.flatnonzero((gram[1:] == gram[:-1]) & (left + right + GRAM >= MIN_WORDS) & ((doc[1:] != doc[:-1]) | (place[1:] != place[:-1])))
-    both, other = np.concatenate([ok, ok + 1]), np.concatenate([ok + 1, ok])
-    l, r = np.tile(left[ok], 2), np.tile(right[ok], 2)
-    return pa.record_batch([pa.array(doc[both]), pa.array(place[both] - l), pa.array(place[both] + GRAM + r), pa.array(doc[other]), pa.array(first[both])], schema=_MATCH)
 
-
-def _ends(rows: dict[str, list], k: int, at: int, is_last: bool) -> pa.RecordBatch:
-    blank = {f.name: [None] for f in _MATCH}
-    return pa.record_batch(blank | {"range": [at], "is_last": [is_last]} | {"s_" + c: [rows[c][k]] for c in rows}, schema=_WALK)
+def _windows(rows: list[tuple], ends: list[bool]) -> pa.RecordBatch:
+    """The hashes of the windows from start on, one for each n windows: of each of them for suffixes at an end of a run, of the first one for others."""
+    gram, right, left, doc, place, start, n = zip(*rows, strict=True)
+    doc, place, start, n = (np.array(x, np.int64) for x in (doc, place, start, n))
+    after, before = _sums(right, _FACTORS[:REACH]), _sums(left, _FACTORS[REACH:])
+    # the window with r words behind the gram has SPREAD - 1 - r before it
+    hashes = common.mixed(common.mixed(np.array(gram, np.int64).view(np.uint64)[:, None] + before[:, SPREAD - 1 :: -1]) + after[:, :SPREAD])
+    r, first = np.arange(SPREAD), (SPREAD - 1 - (place - start))[:, None]
+    size = np.where(ends, n, 1)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(hashes[(r >= first) & (r < first + size[:, None])].view(np.int64)))
+    return pa.record_batch([pa.array(doc), pa.array(start, pa.int32()), pa.array(np.where(ends, 1, n), pa.int32()), lists], names=["doc_id", "start", "n", "windows"])
 
 
 def _walk(batches):
-    """Matches within a sorted range, and its first and last suffix."""
-    at, last = TaskContext.get().partitionId(), None
+    """The windows of a sorted range. Of suffixes with all words around equal, the windows of the first and the last
+    are the least and the greatest; one between them repeats in all its windows and is first in none."""
+    last, opens = None, True  # the suffix before, and whether it is the first of its equals
     for batch in batches:
-        for lo in range(0, len(batch), 5000):
-            rows = batch.slice(lo, 5000).to_pydict()
-            if last is None:
-                yield _ends(rows, 0, at, False)
-            else:
-                rows = {c: [last[c][0], *v] for c, v in rows.items()}
-            found = _matches(rows)
-            nothing = [pa.nulls(len(found), f.type) for f in list(_WALK)[len(_MATCH) :]]
-            yield pa.record_batch([*found.columns, *nothing], schema=_WALK)
-            last = {c: v[-1:] for c, v in rows.items()}
+        for lo in range(0, len(batch), 1000):
+            rows, ends = [], []
+            for row in zip(*batch.slice(lo, 1000).to_pydict().values(), strict=True):
+                if last is not None:
+                    if row == last:  # a row repeated under its doc_id
+                        continue
+                    same = row[:3] == last[:3]
+                    rows.append(last)
+                    ends.append(opens or not same)
+                    opens = not same
+                last = row
+            if rows:
+                yield _windows(rows, ends)
     if last is not None:
-        yield _ends(last, 0, at, True)
-
-
-def _across(batches):
-    for batch in batches:
-        rows = batch.to_pydict()
-        for k in range(len(batch)):
-            yield _matches({c: [rows["s_" + c][k], rows["n_" + c][k]] for c in _SUFFIX.names})
+        yield _windows([last], [True])
 
 
-def matches(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, like_doc_id, first_doc): stretches of words that a neighbour in the suffix array has too."""
+def stretches(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, end, like_doc_id, is_first): stretches of words all of whose windows of MIN_WORDS are somewhere else too,
+    and are all, or none of them, the first of their equals by doc_id and place."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     retained = common.written(docs.mapInArrow(_retained, "doc_id long, place long, gram long"), "retained")
     # written, so that the join with it is dealt out anew and a gram that very many documents share can be split
-    repeated = common.written(retained.groupBy("gram").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1").drop("n"), "repeated")
-    wanted = retained.join(repeated, "gram").groupBy("doc_id").agg(F.collect_set(F.struct("place", "gram", "first_doc")).alias("want"))  # a document's own
+    repeated = common.written(retained.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+    wanted = retained.join(repeated, "gram").groupBy("doc_id").agg(F.collect_set(F.struct("place", "gram")).alias("want"))  # a document's own
     suffixes = docs.where("text is not null").join(wanted, "doc_id").select("doc_id", "text", "want").mapInArrow(_suffixes, _SUFFIX_DDL)
     order = ["gram", "right", "left", "doc_id", "place"]
-    walked = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).select(*_SUFFIX.names).mapInArrow(_walk, _WALK_DDL)
-    walked = common.written(walked, "suffix-matches")
-    ranges = sorted(r["range"] for r in walked.where("is_last").select("range").collect())  # a number for each task that had rows
-    follows = docs.sparkSession.createDataFrame(list(zip(ranges, ranges[1:], strict=False)), "range int, next_range int")
-    ends = walked.where("is_last").select("range", *(f"s_{c}" for c in _SUFFIX.names))
-    heads = walked.where("not is_last").select(F.col("range").alias("next_range"), *(F.col(f"s_{c}").alias(f"n_{c}") for c in _SUFFIX.names))
-    seams = ends.join(follows, "range").join(heads, "next_range").mapInArrow(_across, "doc_id long, start long, end long, like_doc_id long, first_doc long")
-    return walked.where("range is null").select(*_MATCH.names).union(seams)
+    packed = common.written(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).select(*_SUFFIX.names).mapInArrow(_walk, _WINDOW_DDL), "windows")
+    places = line_dedup.Places(docs)
+    windows = packed.select("doc_id", "start", "n", F.posexplode("windows").alias("at", "window")).select("window", places.id("doc_id", "(start + at)").alias("id"), "n")
+    several = windows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("greatest")).where("least <> greatest")
+    found = windows.join(common.written(several, "repeated-windows"), "window").withColumn("is_first", F.col("id") == F.col("least"))
+    like = F.when(F.col("is_first"), places.doc_id("greatest")).otherwise(places.doc_id("least"))
+    return found.select(places.doc_id("id").alias("doc_id"), places.line_no("id").alias("start"), "n", like.alias("like_doc_id"), "is_first").selectExpr("doc_id", "start", f"start + n + {MIN_WORDS - 1} as end", "like_doc_id", "is_first")
 
 
 def passages(docs: DataFrame) -> DataFrame:
     """(doc_id, start, n_words, like_doc_id, is_first): each document's repeated passages, in words from 0.
 
-    like_doc_id: the smallest id of the neighbours that matched; is_first: no smaller doc_id has any of it.
+    like_doc_id: the smallest id that has any of it; is_first: all its runs of MIN_WORDS words are here first.
     """
     own = Window.partitionBy("doc_id").orderBy("start", "end")
     seen = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    parted = matches(docs).withColumn("new", (seen.isNull() | (F.col("start") > seen)).cast("int")).withColumn("part", F.sum("new").over(own))
-    merged = parted.groupBy("doc_id", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("like_doc_id").alias("like_doc_id"), F.min(F.col("first_doc") >= F.col("doc_id")).alias("is_first"))
+    parted = stretches(docs).withColumn("new", (seen.isNull() | (F.col("start") > seen)).cast("int")).withColumn("part", F.sum("new").over(own))
+    merged = parted.groupBy("doc_id", "part").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.min("like_doc_id").alias("like_doc_id"), F.min("is_first").alias("is_first"))
     null_again = lambda c: F.when(F.col(c) != FIRST, F.col(c))
     return merged.select(null_again("doc_id").alias("doc_id"), "start", (F.col("end") - F.col("start")).alias("n_words"), null_again("like_doc_id").alias("like_doc_id"), "is_first")
 

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import json
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from braidwork.llm import chat_format, suffix_dedup
 
@@ -118,3 +118,23 @@ def test_written_chats_read_in_order(spark, tmp_path):
     rows = [(1, 1, "user", "b"), (1, 0, "user", "a"), (2, 0, "user", "c")]
     chat_format.write_chats(chat_format.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), str(tmp_path / "out"))
     assert [json.loads(r.value)["content"] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["a", "b", "c"]
+
+
+def windows_of(text):
+    w = fixtures.words(text)
+    return [tuple(w[k : k + 50]) for k in range(len(w) - 49)]
+
+
+def test_passages_of_edited_copies_equal_brute_force(spark):
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(300)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(12):
+            w[rng.randrange(300)] = f"e{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    got = defaultdict(set)
+    for r in suffix_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
+        got[r.doc_id].update(range(r.start, r.start + r.n_words))
+    assert dict(got) == dict(covered(rows))
