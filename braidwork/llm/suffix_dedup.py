@@ -191,19 +191,20 @@ def stretches(docs: DataFrame) -> DataFrame:
 def passages(docs: DataFrame) -> DataFrame:
     """(doc_id, start, n_words, like_doc_id, is_first): each document's repeated passages, in words from 0.
 
-    like_doc_id: the smallest id that has any of it; is_first: all its runs of MIN_WORDS words are here first.
+    is_first: each of its runs of MIN_WORDS words is here first, by doc_id and place; otherwise none is. A passage that is first
+    can overlap one that is not. like_doc_id: the smallest id that has the passage's first MIN_WORDS words, or, where they are first, the largest.
     """
-    own = Window.partitionBy("doc_id").orderBy("start", "end")
+    own = Window.partitionBy("doc_id", "is_first").orderBy("start", "end")
     seen = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
     parted = stretches(docs).withColumn("new", (seen.isNull() | (F.col("start") > seen)).cast("int")).withColumn("part", F.sum("new").over(own))
-    merged = parted.groupBy("doc_id", "part").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.min("like_doc_id").alias("like_doc_id"), F.min("is_first").alias("is_first"))
+    merged = parted.groupBy("doc_id", "is_first", "part").agg(F.min(F.struct("start", "like_doc_id")).alias("head"), F.max("end").alias("end"))
     null_again = lambda c: F.when(F.col(c) != FIRST, F.col(c))
-    return merged.select(null_again("doc_id").alias("doc_id"), "start", (F.col("end") - F.col("start")).alias("n_words"), null_again("like_doc_id").alias("like_doc_id"), "is_first")
+    return merged.select(null_again("doc_id").alias("doc_id"), F.col("head.start").cast("long").alias("start"), (F.col("end") - F.col("head.start")).cast("long").alias("n_words"), null_again("head.like_doc_id").alias("like_doc_id"), "is_first")
 
 
 def dedup_passages(docs: DataFrame) -> DataFrame:
-    """docs with every repeated passage taken out of ``text`` but where it is first; all rows and columns stay."""
-    gone = passages(docs).where(~F.col("is_first")).groupBy(F.coalesce("doc_id", F.lit(FIRST)).alias("__id")).agg(F.collect_list(F.struct("start", "n_words")).alias("__gone"))
+    """docs with every repeated passage taken out of ``text`` but for words of one that is first there; all rows and columns stay."""
+    gone = passages(docs).groupBy(F.coalesce("doc_id", F.lit(FIRST)).alias("__id")).agg(F.collect_list(F.struct("start", "n_words", "is_first")).alias("__gone"))
 
     @F.pandas_udf("string")
     def cut(texts, lists):  # noqa: ANN001, ANN202
@@ -215,8 +216,12 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
             if text is None or spans is None:
                 return text
             words = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
-            for s in sorted(spans, key=lambda s: -s["start"]):
-                text = text[: words[s["start"]][0]] + text[words[s["start"] + s["n_words"] - 1][1] :]
+            out = np.zeros(len(words) + 2, np.int8)  # a word that does not go at either side
+            for s in sorted(spans, key=lambda s: s["is_first"]):
+                out[1:-1][s["start"] : s["start"] + s["n_words"]] = not s["is_first"]
+            turns = np.flatnonzero(np.diff(out)).tolist()
+            for start, end in reversed(list(zip(turns[::2], turns[1::2], strict=True))):
+                text = text[: words[start][0]] + text[words[end - 1][1] :]
             return text
 
         return pd.Series([one(t, s) for t, s in zip(texts, lists, strict=True)])

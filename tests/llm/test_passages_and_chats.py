@@ -138,3 +138,22 @@ def test_passages_of_edited_copies_equal_brute_force(spark):
     for r in suffix_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
         got[r.doc_id].update(range(r.start, r.start + r.n_words))
     assert dict(got) == dict(covered(rows))
+
+
+def test_one_of_each_repeated_window_is_left(spark):
+    rng = random.Random(6)
+    p1, p2, p3 = ([f"{x}{k}" for k in range(60)] for x in "pqr")
+    base = [f"b{k}" for k in range(300)]
+    rows = [(1, p1), (2, p1 + p2), (3, p2), (4, [*p3, "between", *p3])]
+    for i in range(10, 60):
+        w = list(base)
+        for _ in range(8):
+            w[rng.randrange(300)] = f"e{rng.randrange(10**9)}"
+        rows.append((i, w))
+    rows = [(i, " ".join(w)) for i, w in rows]
+    out = suffix_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    left = {r.doc_id: r.text for r in out}
+    assert [left[i].split() for i in (1, 2, 3, 4)] == [p1, p2, [], [*p3, "between"]]
+    kept = {w for t in left.values() for w in windows_of(t)}
+    times = Counter(w for _, t in rows for w in windows_of(t))
+    assert {w for w, n in times.items() if n > 1} <= kept
