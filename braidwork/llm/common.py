@@ -32,6 +32,31 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+FIRST = -(1 << 63)
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs with a number __own for each pair of a doc_id and a text, in the order of doc_id, a null one first.
+
+    Where no two texts share a doc_id it is the doc_id itself, FIRST for null, and the second result is None;
+    otherwise that is the table of (__own, __id).
+    """
+    own, digest = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)), F.xxhash64(F.col("text").cast("string"))
+    each = docs.select(own.alias("__id"), digest.alias("__digest"))
+    if each.groupBy("__id").agg(F.min("__digest").alias("a"), F.max("__digest").alias("b")).where("a <> b").isEmpty():
+        return docs.withColumn("__own", own), None
+    order = ["__id", "__digest"]
+    keys = written(each.distinct().repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__own", F.monotonically_increasing_id()), "keys")
+    return docs.withColumn("__id", own).withColumn("__digest", digest).join(keys, order).select(*docs.columns, "__own"), keys.select("__own", "__id")
+
+
+def ids_again(df: DataFrame, names: DataFrame | None, *columns: str) -> DataFrame:
+    """df with the doc_ids in place of the numbers that keyed gave."""
+    for c in columns if names is not None else ():
+        df = df.join(names, df[c] == names["__own"]).select(*(F.col("__id").alias(c) if x == c else df[x] for x in df.columns))
+    return df
+
+
 def words_of(text: Column | str) -> Column:
     """Words [^\\x20\\x09-\\x0D]+ of a text with A-Z in lower case; a null text has none."""
     text = F.col(text) if isinstance(text, str) else text

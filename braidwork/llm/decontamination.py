@@ -20,7 +20,7 @@ one window in each of them.
 Defined cases: null, empty and wordless texts and items match nothing; items with fewer than five words
 are one shingle; at a document's ends the window is moved inside, and a document shorter than an item
 is its own window; repeated documents and items match alike and give one row for each pair of ids; a null
-id is a value like others; empty tables give no rows; ``decontaminate`` keeps other columns untouched.
+item id is a value like others; different texts under one doc_id, or none, are looked at and dropped each by itself; empty tables give no rows; ``decontaminate`` keeps other columns untouched.
 """
 
 from __future__ import annotations
@@ -93,13 +93,20 @@ def windows(docs: DataFrame, items: DataFrame, small: bool) -> DataFrame:
 
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, start, n_words, similarity): the most similar window of each pair, the first of equals."""
-    id_of = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(FIRST)).alias(c)
+    rows, names = common.keyed(docs)
+    found = common.ids_again(_matches(rows, benchmark, similarity), names, "doc_id")
+    best = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("start", "n", "similarity"), F.struct("similarity", -F.col("start"))).alias("m"))
     null_again = lambda c: F.when(F.col(c) != FIRST, F.col(c)).alias(c)
-    items = benchmark.select(id_of("item_id"), common.words_of("text").alias("words")).where(F.size("words") > 0)
+    return best.select(null_again("doc_id"), null_again("item_id"), F.col("m.start").cast("long").alias("start"), F.col("m.n").cast("long").alias("n_words"), F.col("m.similarity").alias("similarity"))
+
+
+def _matches(rows: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, item_id, start, n, similarity): the matching windows of keyed documents, with their numbers as doc_id."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(FIRST)).alias("item_id"), common.words_of("text").alias("words")).where(F.size("words") > 0)
     items = common.written(items.withColumn("n", F.size("words")), "items")
     small = (items.agg(F.sum("n")).first()[0] or 0) <= BROADCAST
     hint = F.broadcast if small else (lambda df: df)
-    found = common.written(windows(docs.select(id_of("doc_id"), "text"), items, small), "windows")
+    found = common.written(windows(rows.select(F.col("__own").alias("doc_id"), "text"), items, small), "windows")
     keys = ["doc_id", "start", "n"]
     left = _blocks(_fingerprints(found, keys))
     right = _blocks(_fingerprints(items, ["item_id", "n"])).withColumnRenamed("fp", "item_fp")
@@ -108,15 +115,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     of_windows = _shingles(found, keys).withColumnRenamed("times", "w_times").withColumnRenamed("total", "w_total")
     shared = pairs.join(of_windows, keys).join(hint(_shingles(items, ["item_id"])), ["item_id", "shingle"])
     least = shared.groupBy(*keys, "item_id", "w_total", "total").agg(F.sum(F.least("w_times", "times")).alias("least"))
-    alike = least.withColumn("similarity", F.col("least") / (F.col("w_total") + F.col("total") - F.col("least"))).where(F.col("similarity") >= similarity)
-    best = alike.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("start", "n", "similarity"), F.struct("similarity", -F.col("start"))).alias("m"))
-    return best.select(null_again("doc_id"), null_again("item_id"), F.col("m.start").cast("long").alias("start"), F.col("m.n").cast("long").alias("n_words"), F.col("m.similarity").alias("similarity"))
+    return least.withColumn("similarity", F.col("least") / (F.col("w_total") + F.col("total") - F.col("least"))).where(F.col("similarity") >= similarity).select("doc_id", "item_id", "start", "n", "similarity")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all columns, that no item contaminates."""
-    gone = matches(docs, benchmark).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
+    rows, _ = common.keyed(docs)
+    gone = _matches(rows, benchmark).select(F.col("doc_id").alias("__gone")).distinct()
+    return rows.join(gone, F.col("__own") == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -17,8 +17,8 @@ component. Pairs that share no bucket are not compared; at the threshold 0.85 a
 chance below 1e-6, at 0.8 below 4e-5.
 
 Defined cases: null, empty and wordless texts have an empty set, link with nothing and are kept; with
-fewer than five words the whole sequence is the one shingle; rows repeated under one doc_id are one
-document; a null doc_id counts as the smallest id; an empty table gives no rows; ties do not arise, as
+fewer than five words the whole sequence is the one shingle; rows equal in doc_id and text are one
+document, different texts under one doc_id, or none, several, in the order of a hash; a null doc_id counts as the smallest id; an empty table gives no rows; ties do not arise, as
 components are named by their smallest id; other columns pass through ``dedup`` untouched.
 """
 
@@ -35,7 +35,6 @@ WORDS = 5
 PERMUTATIONS = 65
 ROWS = 5
 AT_ONCE = 100_000
-FIRST = -(1 << 63)
 
 SKETCHED = "doc_id long, n_shingles long, key1 long, key2 long, bits1 long, bits2 long, buckets array<long>"
 
@@ -182,21 +181,24 @@ def links(docs: DataFrame, percent: int, words: int = WORDS) -> tuple[DataFrame,
 
 def grouped(docs: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST))
-    known, found = links(docs.select(own.alias("doc_id"), F.col("text").cast("string").alias("text")), percent, words)
+    rows, names = common.keyed(docs)
+    return common.ids_again(_grouped(rows, percent, words), names, "doc_id", "component_id")
+
+
+def _grouped(rows: DataFrame, percent: int, words: int) -> DataFrame:
+    """grouped of keyed documents, with their numbers for ids."""
+    known, found = links(rows.select(F.col("__own").alias("doc_id"), F.col("text").cast("string").alias("text")), percent, words)
     known = common.written(known, "known")
-    # rows of one doc_id with different texts tie their classes together
-    torn = known.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
-    tied = known.join(torn.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    group = common.components(found.union(tied))
+    group = common.components(found)
     out = known.join(group, known["rep"] == group["node"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def dedup(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
     """The rows of docs, with all columns, whose document is the smallest id of its component."""
-    gone = grouped(docs, percent, words).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(FIRST)) == F.col("__gone"), "left_anti")
+    rows, _ = common.keyed(docs)
+    gone = _grouped(rows, percent, words).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    return rows.join(gone, F.col("__own") == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

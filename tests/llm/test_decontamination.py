@@ -73,3 +73,12 @@ def test_empty_tables(spark):
 def test_no_python_in_plan(spark):
     plan = decontamination.query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_texts_that_share_an_id_are_looked_at_one_by_one(spark):
+    item = " ".join(f"q{k}" for k in range(40))
+    near = " ".join(w if k % 4 else f"z{k}" for k, w in enumerate(item.split()[5:])) + " " + " ".join(item.split()[:5])
+    rows = [(None, "clean words alone"), (None, item), *((None, f"{near} {k}") for k in range(30)), (2, "other clean words"), (2, f"{item} tail")]
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), b).collect()
+    assert sorted(r.text for r in kept) == sorted(t for _, t in rows if item not in t)

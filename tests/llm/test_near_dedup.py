@@ -57,3 +57,10 @@ def test_large_group_of_copies_and_a_chain(spark):
 
 def test_empty_table(spark):
     assert near_dedup.grouped(spark.createDataFrame([], fixtures.SCHEMA), 85).count() == 0
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    text = lambda x: " ".join(f"{x}{k}" for k in range(30))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b") + " more"), (3, text("c")), (3, text("d")), (4, text("d"))]
+    kept = near_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text.split()[0] for r in kept) == ["a0", "b0", "c0", "d0"] and {r.doc_id for r in kept} == {None, 3}
