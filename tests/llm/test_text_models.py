@@ -162,3 +162,7 @@ def test_lm_without_texts(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = lm_scoring.score(docs, *lm_scoring.fit(docs.limit(0))).collect()
     assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got} == {(1, 3, 0, 0, 0.0), (2, 1, 0, 0, 0.0)}
+
+
+def test_language_models_learn_from_the_whole_sample():
+    assert language_id.SAMPLE_PER_LANGUAGE >= 1000
