@@ -123,7 +123,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all columns, that no item contaminates."""
     rows, _ = common.keyed(docs)
     gone = _matches(rows, benchmark).select(F.col("doc_id").alias("__gone")).distinct()
-    return rows.join(gone, F.col("__own") == F.col("__gone"), "left_anti").select(*docs.columns)
+    return rows.join(gone, F.col("__own") == F.col("__gone"), "left_anti").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ def _functions() -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingles(text: str | None) -> np.ndarray:
-    return common.shingle_hashes(common.word_hashes(common.byte_words(text)), WORDS)
+    return common.shingle_hashes(common.text_hashes(text), WORDS)
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:

@@ -47,7 +47,7 @@ def _functions(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The distinct hashes of a text's shingles, in order."""
-    return np.unique(common.shingle_hashes(common.word_hashes(common.byte_words(text)), words))
+    return np.unique(common.shingle_hashes(common.text_hashes(text), words))
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -198,7 +198,7 @@ def dedup(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
     """The rows of docs, with all columns, whose document is the smallest id of its component."""
     rows, _ = common.keyed(docs)
     gone = _grouped(rows, percent, words).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return rows.join(gone, F.col("__own") == F.col("__gone"), "left_anti").select(*docs.columns)
+    return rows.join(gone, F.col("__own") == F.col("__gone"), "left_anti").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common, line_dedup
+from . import common
 
 MIN_WORDS = 50
 GRAM = 20
@@ -74,7 +74,7 @@ def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
 
 
 def _hashes(text: str | None) -> np.ndarray:
-    return common.word_hashes(common.byte_words(text))
+    return common.text_hashes(text)
 
 
 def _retained(batches):
@@ -180,7 +180,7 @@ def stretches(docs: DataFrame) -> DataFrame:
     suffixes = docs.where("text is not null").join(wanted, "doc_id").select("doc_id", "text", "want").mapInArrow(_suffixes, _SUFFIX_DDL)
     order = ["gram", "right", "left", "doc_id", "place"]
     packed = common.written(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).select(*_SUFFIX.names).mapInArrow(_walk, _WINDOW_DDL), "windows")
-    places = line_dedup.Places(docs)
+    places = common.Places(docs)
     windows = packed.select("doc_id", "start", "n", F.posexplode("windows").alias("at", "window")).select("window", places.id("doc_id", "(start + at)").alias("id"), "n")
     several = windows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("greatest")).where("least <> greatest")
     found = windows.join(common.written(several, "repeated-windows"), "window").withColumn("is_first", F.col("id") == F.col("least"))
