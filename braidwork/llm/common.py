@@ -50,7 +50,8 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*map(named, docs.columns)).alias("row"))
     own, digest = F.coalesce("doc_id", F.lit(FIRST)), F.xxhash64("text")
     each = base.select(own.alias("__id"), digest.alias("__digest"))
-    if each.groupBy("__id").agg(F.min("__digest").alias("a"), F.max("__digest").alias("b")).where("a <> b").isEmpty():
+    shared = base.groupBy(own.alias("__id")).agg(F.count("*").alias("n")).where("n > 1").select("__id")
+    if shared.isEmpty() or each.join(shared, "__id", "left_semi").groupBy("__id").agg(F.min("__digest").alias("a"), F.max("__digest").alias("b")).where("a <> b").isEmpty():
         return base.withColumn("__own", own), None
     order = ["__id", "__digest"]
     keys = written(each.distinct().repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__own", F.monotonically_increasing_id()), "keys")
