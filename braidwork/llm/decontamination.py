@@ -5,68 +5,81 @@ window's weighted shingle similarity with it (five words a shingle, weighted by
 sum of minima over sum of maxima) is 0.8 or more.
 
 1. A window that similar shares a shingle with its item, so only windows on which a document's shingle
-   falls in with an item's are built; which item that was is forgotten.
-2. Windows and items get 64-bit SimHashes of their words. Sixteen 4-bit blocks are joined by (size, block):
-   of two fingerprints within 15 bits, one block at least is equal, so none within the radius is missed.
+   falls in with an item's are built; which item that was is forgotten. Only (document, place, gram) meets the items;
+   the windows that this leaves, each once, then fetch their words from the documents.
+2. Windows and items get 128-bit SimHashes of their words. Forty-two blocks of three or four bits are joined by
+   (size, block): of two fingerprints within 41 bits, one block at least is equal, so none within the radius is missed.
 3. Pairs within the radius are verified on their shingles.
 
-The fingerprints are of words, not of shingles: a changed word changes one word in n, but five shingles,
-so that windows of similarity 0.8 mostly stay within the radius, but not always: a review's simulation lost 1.3 to 1.8 in
-100 windows right at 0.8 whose tail is replaced (items of 40 to 59 words), 0.1 to 0.3 with items of 15 to 30.
+The fingerprints are of words, not of shingles: a changed word changes one word in n, but five shingles. At a
+similarity of 0.8 a ninth of the words at most is in one text only; two such texts differ in 19 of 128 bits on average, with
+a standard deviation of 4, so that the radius is five deviations away and loses about one such window in a million.
 
 The benchmark's shingles, sizes and blocks are broadcast if it has at most ``BROADCAST`` words, and joined
-by shuffles otherwise. A document is never gathered; a passage that a third of all documents share makes
-one window in each of them.
+by shuffles otherwise; likewise the windows' places, if at most ``PLACES`` documents have any. A document is never gathered; a
+passage that a third of all documents share makes one window in each of them.
 
 Defined cases: null, empty and wordless texts and items match nothing; items with fewer than five words
 are one shingle; at a document's ends the window is moved inside, and a document shorter than an item
-is its own window; repeated documents and items match alike and give one row for each pair of ids; a null
-item id is a value like others; different texts under one doc_id, or none, are looked at and dropped each by itself; empty tables give no rows; ``decontaminate`` keeps other columns untouched.
+is its own window; repeated documents and items match alike and give one row for each pair of ids; different items under one id, or none, are
+looked at each by itself, and the most similar counts for the id; different texts under one doc_id, or none, are looked at and dropped each by
+itself; texts and items may have any length; empty tables give no rows; ``decontaminate`` keeps other columns untouched, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 WORDS = 5
 SIMILARITY = 0.8
-RADIUS = 15
-BLOCKS = RADIUS + 1
+BLOCKS = 42
+RADIUS = BLOCKS - 1
 #: Words of a benchmark that may be broadcast: its shingles are at most as many rows of 20 bytes.
 BROADCAST = 2_000_000
-FIRST = -(1 << 63)
+#: Documents with windows, and blocks of items, that may be broadcast, of some 50 bytes each.
+PLACES = 1 << 20
 
 
-def _grams(words: str, k: int) -> F.Column:
-    """Hashes of the runs of k words, by their place."""
-    return F.expr(f"transform(sequence(0, size({words}) - {k}), i -> xxhash64({', '.join(f'{words}[i + {j}]' for j in range(k))}))")
+def _grams(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """keys, m (how many words), place and gram, a hash, of each run of k words. No lambda, so that all is compiled into one stage with what follows."""
+    at = rows.select(*keys, "words", F.posexplode("words").alias("place", "word")).where(F.col("place") <= F.size("words") - k)
+    return at.select(*keys, F.size("words").alias("m"), "place", F.xxhash64(*(F.get("words", F.col("place") + j) for j in range(k))).alias("gram"))
 
 
 def _fingerprints(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and fp: the SimHash of the words of each row.
+    """keys, fp1 and fp2: the SimHash of the words of each row.
 
-    Sixteen sums count all 64 bits, each in four lanes of 16 bits; windows of up to 32767 words fit.
+    Thirty-two sums count the 64 bits of each half, two to a sum, in lanes of 32 bits.
     """
-    h = F.xxhash64("word")
-    lanes = F.lit(0x0001000100010001)
-    sums = [F.sum(F.shiftrightunsigned(h, k).bitwiseAND(lanes)).alias(f"s{k}") for k in range(16)]
+    lanes = F.lit((1 << 32) + 1)
+    halves = [F.xxhash64("word"), F.xxhash64(F.lit(1), "word")]
+    sums = [F.sum(F.shiftrightunsigned(h, k).bitwiseAND(lanes)).alias(f"s{i}_{k}") for i, h in enumerate(halves) for k in range(32)]
     counted = rows.select(*keys, F.explode("words").alias("word")).groupBy(*keys).agg(F.count("*").alias("n_words"), *sums)
-    bit = lambda k, lane: F.when(F.shiftrightunsigned(f"s{k}", 16 * lane).bitwiseAND(F.lit(0xFFFF)) * 2 > F.col("n_words"), F.shiftleft(F.lit(1).cast("long"), k + 16 * lane)).otherwise(F.lit(0).cast("long"))
-    fp = bit(0, 0)
-    for k in range(16):
-        for lane in range(4):
-            if k or lane:
-                fp = fp.bitwiseOR(bit(k, lane))
-    return counted.select(*keys, fp.alias("fp"))
+
+    def half(i: int) -> Column:
+        bits = [
+            F.when(F.shiftrightunsigned(f"s{i}_{k}", 32 * lane).bitwiseAND(F.lit(0xFFFFFFFF)) * 2 > F.col("n_words"), F.shiftleft(F.lit(1).cast("long"), k + 32 * lane)).otherwise(F.lit(0).cast("long"))
+            for k in range(32)
+            for lane in (0, 1)
+        ]
+        return functools.reduce(Column.bitwiseOR, bits)
+
+    return counted.select(*keys, half(0).alias("fp1"), half(1).alias("fp2"))
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    width = 64 // BLOCKS
-    each = F.array(*(F.struct(F.lit(b).alias("block"), F.shiftrightunsigned("fp", width * b).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for b in range(BLOCKS)))
-    return rows.withColumn("b", F.explode(each)).select("*", "b.block", "b.value").drop("b")
+    each, own = [], BLOCKS // 2
+    for half in (0, 1):
+        cuts = [64 * b // own for b in range(own + 1)]
+        for b, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            value = F.shiftrightunsigned(f"fp{half + 1}", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long"))
+            each.append(F.struct(F.lit(half * own + b).alias("block"), value.alias("value")))
+    return rows.withColumn("b", F.explode(F.array(*each))).select("*", "b.block", "b.value").drop("b")
 
 
 def _shingles(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -76,20 +89,23 @@ def _shingles(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, (F.size("words") - k + 1).alias("total"), F.explode(runs).alias("shingle")).groupBy(*keys, "total", "shingle").agg(F.count("*").alias("times"))
 
 
-def windows(docs: DataFrame, items: DataFrame, small: bool) -> DataFrame:
+def windows(docs: DataFrame, items: DataFrame, small: bool, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, start, n, words): the item-sized windows on which a shingle of an item falls in with one of the document."""
     hint = F.broadcast if small else (lambda df: df)
     sizes = [r["k"] for r in items.select(F.least(F.lit(WORDS), "n").alias("k")).distinct().collect()]  # at most WORDS numbers
     own = docs.select("doc_id", common.words_of("text").alias("words"))
-    found = None
+    found = own.select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("n")).where("false")
     for k in sorted(sizes):
-        of_items = items.where(F.least(F.lit(WORDS), F.col("n")) == k).select("n", F.posexplode(_grams("words", k)).alias("at", "gram")).distinct()
-        of_docs = own.where(F.size("words") >= k).select("doc_id", "words", F.posexplode(_grams("words", k)).alias("place", "gram"))
-        hits = of_docs.join(hint(of_items), "gram")
-        start = F.greatest(F.lit(0), F.least(F.col("place") - F.col("at"), F.size("words") - F.col("n")))
-        here = hits.withColumn("start", start).select("doc_id", "start", "n", F.slice("words", F.col("start") + 1, F.col("n")).alias("words"))
-        found = here if found is None else found.union(here)
-    return found.dropDuplicates(["doc_id", "start", "n"]) if found is not None else own.select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("n"), "words").where("false")
+        of_items = _grams(items.where(F.least(F.lit(WORDS), F.col("n")) == k), ["n"], k).select("n", F.col("place").alias("at"), "gram").distinct()
+        hits = _grams(own, ["doc_id"], k).join(hint(of_items), "gram")
+        # a window of fewer shingles than that share of the item's is not as similar; only one as long as its document is shorter than n
+        hits = hits.where((F.least("m", "n") - k + 1) >= similarity * (F.col("n") - k + 1))
+        start = F.greatest(F.lit(0), F.least(F.col("place") - F.col("at"), F.col("m") - F.col("n")))
+        found = found.union(hits.select("doc_id", start.alias("start"), "n"))
+    places = common.written(found.distinct().groupBy(F.col("doc_id").alias("own")).agg(F.collect_list(F.struct("start", "n")).alias("at")), "places")  # a document's own
+    hint = F.broadcast if places.count() <= PLACES else (lambda df: df)
+    with_words = own.join(hint(places), F.col("doc_id") == F.col("own")).dropDuplicates(["doc_id"]).select("doc_id", "words", F.explode("at").alias("p"))
+    return with_words.select("doc_id", "p.start", "p.n", F.slice("words", F.col("p.start") + 1, F.col("p.n")).alias("words"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -97,26 +113,29 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     rows, names = common.keyed(docs)
     found = common.ids_again(_matches(rows, benchmark, similarity), names, "doc_id")
     best = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("start", "n", "similarity"), F.struct("similarity", -F.col("start"))).alias("m"))
-    null_again = lambda c: F.when(F.col(c) != FIRST, F.col(c)).alias(c)
+    null_again = lambda c: F.when(F.col(c) != common.FIRST, F.col(c)).alias(c)
     return best.select(null_again("doc_id"), null_again("item_id"), F.col("m.start").cast("long").alias("start"), F.col("m.n").cast("long").alias("n_words"), F.col("m.similarity").alias("similarity"))
 
 
 def _matches(rows: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, start, n, similarity): the matching windows of keyed documents, with their numbers as doc_id."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(FIRST)).alias("item_id"), common.words_of("text").alias("words")).where(F.size("words") > 0)
-    items = common.written(items.withColumn("n", F.size("words")), "items")
-    small = (items.agg(F.sum("n")).first()[0] or 0) <= BROADCAST
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(common.FIRST)).alias("item_id"), common.words_of("text").alias("words")).where(F.size("words") > 0)
+    items = common.written(items.distinct().withColumn("n", F.size("words")).withColumn("item", F.monotonically_increasing_id()), "items")
+    n_items, n_words = items.agg(F.count("*"), F.sum("n")).first()
+    small = (n_words or 0) <= BROADCAST
     hint = F.broadcast if small else (lambda df: df)
-    found = common.written(windows(rows.select(F.col("__own").alias("doc_id"), "text"), items, small), "windows")
+    found = common.written(windows(rows.select(F.col("__own").alias("doc_id"), "text"), items, small, similarity), "windows")
     keys = ["doc_id", "start", "n"]
     left = _blocks(_fingerprints(found, keys))
-    right = _blocks(_fingerprints(items, ["item_id", "n"])).withColumnRenamed("fp", "item_fp")
-    near = left.join(hint(right), ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    pairs = near.select(*keys, "item_id").distinct()
+    right = _blocks(_fingerprints(items, ["item", "n"])).withColumnsRenamed({"fp1": "item_fp1", "fp2": "item_fp2"})
+    far = F.bit_count(F.col("fp1").bitwiseXOR(F.col("item_fp1"))) + F.bit_count(F.col("fp2").bitwiseXOR(F.col("item_fp2")))
+    near = left.join(F.broadcast(right) if n_items * BLOCKS <= PLACES else right, ["n", "block", "value"]).where(far <= RADIUS)
+    pairs = near.select(*keys, "item").distinct()
     of_windows = _shingles(found, keys).withColumnRenamed("times", "w_times").withColumnRenamed("total", "w_total")
-    shared = pairs.join(of_windows, keys).join(hint(_shingles(items, ["item_id"])), ["item_id", "shingle"])
-    least = shared.groupBy(*keys, "item_id", "w_total", "total").agg(F.sum(F.least("w_times", "times")).alias("least"))
-    return least.withColumn("similarity", F.col("least") / (F.col("w_total") + F.col("total") - F.col("least"))).where(F.col("similarity") >= similarity).select("doc_id", "item_id", "start", "n", "similarity")
+    shared = pairs.join(of_windows, keys).join(hint(_shingles(items, ["item"])), ["item", "shingle"])
+    least = shared.groupBy(*keys, "item", "w_total", "total").agg(F.sum(F.least("w_times", "times")).alias("least"))
+    close = least.withColumn("similarity", F.col("least") / (F.col("w_total") + F.col("total") - F.col("least"))).where(F.col("similarity") >= similarity)
+    return close.join(hint(items.select("item", "item_id")), "item").select("doc_id", "item_id", "start", "n", "similarity")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -133,7 +152,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"list_filter(regexp_split_to_array({_LOW}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
-#: The windows' definition without fingerprints: none of the pairs at hand lies outside the radius.
+#: The windows' definition without fingerprints: a window that shares no shingle with its item has similarity 0.
 ORACLE = f"""
 with w as (select distinct doc_id, {_WORDS} as words from documents),
 i as (select item_id, {_WORDS} as words from benchmark),

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 from . import fixtures
@@ -82,3 +83,31 @@ def test_texts_that_share_an_id_are_looked_at_one_by_one(spark):
     b = spark.createDataFrame([(1, item)], "item_id long, text string")
     kept = decontamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), b).collect()
     assert sorted(r.text for r in kept) == sorted(t for _, t in rows if item not in t)
+
+
+def test_changed_tails_at_the_threshold(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    docs, items = [], []
+    for k in range(600):
+        n = rng.randrange(15, 60)
+        item = [word() for _ in range(n)]
+        c = (n - 4) // 9  # as many words as can be changed at the end at a similarity of 0.8
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join([word(), word(), *item[: n - c], *(word() for _ in range(c)), word()])))
+    got = decontamination.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_own(docs, items)
+    assert len(want) > 500 and {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == want
+
+
+def brute_own(docs, items):
+    """brute, of each document with its own item only."""
+    return {k: round(v, 9) for d, i in zip(docs, items, strict=True) for k, v in brute([d], [i]).items()}
+
+
+def test_a_very_long_item_and_items_that_share_an_id(spark):
+    long = " ".join(f"w{k}" for k in range(70_000))
+    docs = [(1, f"head {long} tail"), (2, " ".join(long.split()[:60_000])), (3, " ".join(f"w{k}" for k in range(100))), (4, "one two three four five six seven"), (5, "eight nine ten eleven twelve thirteen")]
+    items = [(1, long), (7, "one two three four five six seven"), (7, "eight nine ten eleven twelve thirteen"), (None, "eight nine ten eleven twelve")]
+    got = decontamination.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 1), (4, 7), (5, 7), (5, None)}
