@@ -27,8 +27,15 @@ def session(cpus: int | str = "*", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+#: Bytes of a batch that goes to Python at once, so that long texts do not fill an executor's memory outside its heap.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once a session, for where it is not installed."""
+    """Send this package to the executors once a session, for where it is not installed; batches are kept to BATCH_BYTES where no less is set."""
+    if int(spark.conf.get(_BATCH, f"{1 << 30}b").removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _shipped.add(app)
