@@ -12,7 +12,8 @@ The result is a row for each message, call and result. A conversation reads in t
 place, part): a call follows its message after all calls that it depends on, a result its call.
 
 Defined cases: a null role or text is a JSON null; a text that is not such an object is a plain message,
-the empty one too; a call or result without a usable id, name or JSON arguments is ``invalid``; of equal call ids in a conversation the
+the empty one too; a call or result without a usable id, name or JSON arguments is ``invalid``, and so are
+arguments that are nested beyond ``NESTING`` or hold numbers beyond doubles; lone surrogates are written as escapes; of equal call ids in a conversation the
 first in (turn, place) counts and later ones are ``duplicate``, likewise results; a result without a call is an ``orphan``, a call
 without a result ``unanswered``; calls in a cycle, and what depends on them, are ``cycle`` and come last; null
 conversation ids are one conversation; repeated rows are repeated messages, and duplicates as calls; an empty table
@@ -22,6 +23,7 @@ gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 from typing import Any
 
 import pyarrow as pa
@@ -34,8 +36,43 @@ _PARSED = "conv_id long, turn long, role string, kind string, place int, call_id
 _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
+#: Levels of nesting that JSON may have; what is deeper is not read as JSON.
+NESTING = 100
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def clean(text: str) -> str:
+    """text with lone surrogates, which no UTF-8 has, as the escapes that JSON writes them with."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value: Any) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return clean(json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False))
+
+
+def _refused(name: str) -> None:
+    raise ValueError(f"{name} is not JSON")
+
+
+def _finite(text: str) -> float:
+    out = float(text)
+    if out in (float("inf"), float("-inf")):
+        raise ValueError(f"{text} is out of range")
+    return out
+
+
+def read_json(text: str) -> Any:
+    """The value of a JSON text; ValueError for what is none, holds a number beyond doubles, or is nested beyond NESTING."""
+    try:
+        out = json.loads(text, parse_constant=_refused, parse_float=_finite)
+    except RecursionError as e:
+        raise ValueError("nested too deeply") from e
+    here = [out]
+    for _ in range(NESTING + 1):
+        here = [y for x in here if isinstance(x, (dict, list)) for y in (x.values() if isinstance(x, dict) else x)]
+        if not here:
+            return out
+    raise ValueError("nested too deeply")
 
 
 def _is(value: Any, kind: str) -> bool:
@@ -48,8 +85,6 @@ def _is(value: Any, kind: str) -> bool:
 
 def violations(value: Any, schema: dict, at: str = "$") -> list[str]:
     """What a value breaks of a JSON schema: type, enum, required, properties, additionalProperties, items, minimum, maximum, pattern."""
-    import re
-
     kinds = schema.get("type")
     if kinds is not None and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return [f"{at}: not of type {kinds if isinstance(kinds, str) else '|'.join(kinds)}"]
@@ -102,8 +137,8 @@ def _object(text: str | None, key: str) -> dict | None:
     if text is None or key not in text or not text.lstrip().startswith("{"):
         return None
     try:
-        out = json.loads(text)
-    except (ValueError, RecursionError):
+        out = read_json(text)
+    except ValueError:
         return None
     return out if isinstance(out, dict) and key in out else None
 
@@ -123,8 +158,8 @@ def parsed_turn(role: str | None, text: str | None, schemas: dict[str, dict]) ->
         arguments, errors = call.get("arguments"), []
         if isinstance(arguments, str):
             try:
-                arguments = json.loads(arguments)
-            except (ValueError, RecursionError):
+                arguments = read_json(arguments)
+            except ValueError:
                 errors.append("$: not JSON")
         call_id, name = call.get("id"), call.get("name")
         if not isinstance(call_id, str) or not call_id:
@@ -144,7 +179,8 @@ def parsed(turns: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         for batch in batches:
             rows = []
             for conv, turn, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text")), strict=True):
-                rows += [(conv, turn, role, *x) for x in parsed_turn(role, text, schemas)]
+                for kind, place, call_id, needs, message, errors in parsed_turn(role, text, schemas):
+                    rows.append((conv, turn, role, kind, place, None if call_id is None else clean(call_id), [*map(clean, needs)], message, clean(errors)))
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string()]
             names = ["conv_id", "turn", "role", "kind", "place", "call_id", "needs", "message", "errors"]
             cols = list(zip(*rows, strict=True)) or [()] * len(names)
@@ -214,14 +250,54 @@ def write_chats(chats: DataFrame, path: str) -> None:
     chats.repartitionByRange(*order).sortWithinPartitions(*order).select("message").write.text(path)
 
 
-def query(spark, sf_dir: str) -> DataFrame:
-    """op8: every message, call and result of ``conversations``."""
-    return formatted(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+#: The tools that the query's calls name, and what their arguments must be.
+SCHEMAS = {role: {"type": "object", "required": ["text"], "properties": {"text": {"type": "string", "pattern": "[a-z]"}}} for role in ("system", "user")}
+
 
+def as_calls(turns: DataFrame) -> DataFrame:
+    """A call for each turn that is not the assistant's, and a result for each that is, of conversations that hold plain turns only.
 
-#: The tables at hand hold plain messages only; calls and results are tested against a plain walk.
-ORACLE = """
+    The call of a turn has its number as id, its role as name, and its text as argument; it depends on that of half its number, so that
+    chains stay short in the longest conversation. An assistant's turn answers the one before it.
+    """
+    own = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    asked = ~F.col("role").eqNullSafe("assistant")
+    need = F.when(F.col("turn") > 0, F.struct(F.shiftright("turn", 1).cast("string").alias("$ref")))
+    call = F.struct(F.col("turn").cast("string").alias("id"), F.col("role").alias("name"), F.struct(need.alias("after"), "text").alias("arguments"))
+    calls = own.where(asked).select("conv_id", "turn", F.lit("assistant").alias("role"), F.to_json(F.struct(F.array(call).alias("tool_calls"))).alias("text"))
+    result = F.struct((F.col("turn") - 1).cast("string").alias("tool_call_id"), F.col("text").alias("content"))
+    return calls.union(own.where(~asked).select("conv_id", "turn", F.lit("tool").alias("role"), F.to_json(result).alias("text")))
+
+
+def query(spark, sf_dir: str) -> DataFrame:
+    """op8: every message of ``conversations``, and the linked calls and results that as_calls makes of its turns."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return formatted(turns.union(as_calls(turns)), SCHEMAS)
+
+
+_TEXT, _ROLE = "to_json(text)::varchar", "coalesce(to_json(role)::varchar, 'null')"
+#: Turns have numbers from 0, once in each conversation.
+ORACLE = f"""
+with recursive asked as (select *, turn >= 1 as later from conversations where role is distinct from 'assistant'),
+levels(conv_id, turn, level) as (
+  select a.conv_id, a.turn, 0 from asked a where a.turn < 1 or not exists (select 1 from asked b where b.conv_id = a.conv_id and b.turn = a.turn // 2)
+  union all
+  select a.conv_id, a.turn, l.level + 1 from levels l join asked a on a.conv_id = l.conv_id and a.turn // 2 = l.turn and a.turn >= 1),
+called as (
+  select a.conv_id, a.turn, l.level, r.turn is not null as answered, concat_ws('; ',
+           case when role is null or role not in ('user', 'system') then 'name: unknown'
+                when text is null then '$.text: missing'
+                when not regexp_matches(text, '[a-z]') then '$.text: does not match [a-z]' end) as errors,
+         '{{"arguments":{{' || case when later then '"after":{{"$ref":"' || (a.turn // 2) || '"}}' else '' end || case when later and text is not null then ',' else '' end
+           || coalesce('"text":' || {_TEXT}, '') || '}},"id":"' || a.turn || '","name":' || {_ROLE} || ',"type":"tool_call"}}' as message
+  from asked a join levels l using (conv_id, turn) left join (select conv_id, turn from conversations where role = 'assistant') r on r.conv_id = a.conv_id and r.turn = a.turn + 1),
+answers as (
+  select c.conv_id, c.turn as own, '{{"content":' || coalesce(to_json(c.text)::varchar, 'null') || ',"tool_call_id":"' || (c.turn - 1) || '","type":"tool_result"}}' as message, l.level, l.turn is not null as home
+  from conversations c left join levels l on l.conv_id = c.conv_id and l.turn = c.turn - 1 where c.role = 'assistant')
 select conv_id, turn, 0 as level, 0 as place, 0 as part, 'message' as kind, role, null::varchar as call_id, 'ok' as status, '' as errors,
-       '{"content":' || coalesce(to_json(text)::varchar, 'null') || ',"role":' || coalesce(to_json(role)::varchar, 'null') || '}' as message
-from conversations
+       '{{"content":' || coalesce(to_json(text)::varchar, 'null') || ',"role":' || {_ROLE} || '}}' as message from conversations
+union all select conv_id, turn, 0, 0, 0, 'message', 'assistant', null, 'ok', '', '{{"content":null,"role":"assistant"}}' from asked
+union all select conv_id, turn, level, 1, 1, 'call', 'assistant', turn::varchar, case when errors <> '' then 'invalid' when answered then 'ok' else 'unanswered' end, errors, message from called
+union all select conv_id, case when home then own - 1 else own end, case when home then level else 0 end, case when home then 1 else 0 end, 2, 'result', 'tool', (own - 1)::varchar,
+                 case when home then 'ok' else 'orphan' end, '', message from answers
 """

@@ -299,7 +299,8 @@ LEARNED = "crc32 of doc_id, mod 4, is not 2"
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
-    return common.crc_mod(doc_id, 4) == 2
+    """Whether a row is not learned from; a null id is."""
+    return F.coalesce(common.crc_mod(doc_id, 4) == 2, F.lit(False))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

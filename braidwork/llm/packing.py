@@ -55,14 +55,14 @@ class Encoder:
 
     Where the vocabulary's ids are also its merge ranks, texts of settled characters go through
     ``tiktoken`` with the same vocabulary, which gives the same ids in a third of the time; all other
-    texts go through ``tokenizers`` itself.
+    texts, those that hold an added token's literal among them, go through ``tokenizers`` itself.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.added = [t.content for t in self.slow.get_added_tokens_decoder().values()]
         self.fast = self._fast(path)
 
     def _fast(self, path: str):
@@ -86,7 +86,7 @@ class Encoder:
     def ids(self, text: str | None) -> array:
         if not text:
             return array("I")
-        if self.fast and (text.isascii() or SETTLED.fullmatch(text)):
+        if self.fast and (text.isascii() or SETTLED.fullmatch(text)) and not any(t in text for t in self.added):
             return array("I", self.fast.encode_ordinary(text))
         return array("I", self.slow.encode(text, add_special_tokens=False).ids)
 

@@ -199,7 +199,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
-    return common.crc_mod(doc_id, 3) == 1
+    """Whether a row is not learned from; a null id is."""
+    return F.coalesce(common.crc_mod(doc_id, 3) == 1, F.lit(False))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

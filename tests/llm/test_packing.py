@@ -67,10 +67,9 @@ def test_fast_encoder_is_the_slow_one():
 
 def test_round_trip(spark):
     rows = fixtures.corpus()
-    rows += [(7000, "日本語 text here <|endoftext|>", None, None, None), (7001, "word " * 9000, None, None, None)]
+    rows += [(7000, "日本語 text here <|endoftext|>", None, None, None), (7001, "word " * 9000, None, None, None), (7002, "hello <|endoftext|> x", None, None, None), (7003, "<|endoftext|>", None, None, None)]
     got = packing.pack_documents(spark.createDataFrame(rows, fixtures.SCHEMA)).collect()
     tok = Tokenizer.from_file(packing.default_vocabulary())
-    tok.encode_special_tokens = True
     want = Counter()
     for i, t, *_ in rows:
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
@@ -91,6 +90,13 @@ def test_round_trip(spark):
     assert len(by) == -(-sum(r.length for r in got) // 2048)
 
 
+def test_added_tokens_are_read_as_tokenizers_reads_them():
+    enc = packing.encoder(packing.default_vocabulary())
+    tok = Tokenizer.from_file(packing.default_vocabulary())
+    for text in ("hello <|endoftext|> x", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|endoftext"):
+        assert list(enc.ids(text)) == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_hot_length_is_ranked_in_groups(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP", 7)
     rows = [(k, "one two", None, None, None) for k in range(200)]

@@ -157,3 +157,26 @@ def test_one_of_each_repeated_window_is_left(spark):
     kept = {w for t in left.values() for w in windows_of(t)}
     times = Counter(w for _, t in rows for w in windows_of(t))
     assert {w for w, n in times.items() if n > 1} <= kept
+
+
+def test_untrusted_json(spark):
+    call = lambda a: '{"tool_calls":[{"id":"a\\ud800","name":"f","arguments":' + a + "}]}"
+    deep = "[" * 300 + "]" * 300
+    texts = [call('{"x":"\\ud800"}'), call(json.dumps(deep)), call('"NaN"'), call('"[1e999]"'), call('{"x":NaN}'), call("[" * 5000 + "]" * 5000), call('"' + "9" * 5000 + '"'), call('{"k\\udfff":1}')]
+    out = chat_format.formatted(spark.createDataFrame([(k, 0, "assistant", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string"), {"f": {"additionalProperties": False, "properties": {"x": {}}}}).collect()
+    got = {r.conv_id: (r.status, r.errors) for r in out if r.kind == "call"}
+    assert got == {0: ("unanswered", ""), 1: ("invalid", "$: not JSON"), 2: ("invalid", "$: not JSON"), 3: ("invalid", "$: not JSON"), 6: ("invalid", "$: not JSON"), 7: ("invalid", "$.k\\udfff: not allowed")}
+    assert {r.conv_id for r in out if r.kind == "message"} == set(range(8))
+    assert all(json.loads(r.message) is not None for r in out)
+
+
+def test_turns_as_calls_equal_sql(spark, tmp_path):
+    from .. import conftest
+
+    rng = random.Random(4)
+    rows = [(c, t, rng.choice(["user", "assistant", "assistant", "system", "other", None]), rng.choice(["hello", "", None, "ABC", 'q"uote\n', "né"])) for c in range(60) for t in range(rng.randrange(1, 40))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "x"))
+    next((tmp_path / "x").glob("part-*.parquet")).rename(tmp_path / "conversations.parquet")
+    out = chat_format.query(spark, str(tmp_path))
+    assert {r.status for r in out.select("status").distinct().collect()} >= {"ok", "orphan", "unanswered", "invalid"}
+    conftest.same_rows(out, chat_format.ORACLE, str(tmp_path))

@@ -38,7 +38,8 @@ def test_stages(spark):
             assert after == before
         elif name == "line dedup":
             gone = repeated(rows)
-            assert after == {i: "\n".join(s for k, s in enumerate(t.split("\n")) if k not in gone.get(i, ())) for i, t in rows}
+            left = {i: "\n".join(s for k, s in enumerate(t.split("\n")) if k not in gone.get(i, ())) for i, t in rows}
+            assert after == {i: t for i, t in left.items() if fixtures.words(t) or not fixtures.words(before[i])}
         elif name == "MinHash near-dedup":
             assert set(after) == {i for i, c in groups(rows, 80).items() if i == c}
         else:
