@@ -1,7 +1,7 @@
 """Language ID, line dedup, near-dedup, decontamination and packing, one after the other.
 
 Each stage gets what its predecessor kept, all of it, with the columns of documents; the last returns
-the packed pieces. A document whose lines are all repeats of earlier ones stays, with an empty text.
+the packed pieces. A document that had words, and whose lines are all repeats of earlier ones, goes in line dedup; one that had none stays.
 """
 
 from __future__ import annotations
@@ -21,9 +21,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that an earlier line resembles; n_chars follows the text."""
+    """Texts without the lines that an earlier line resembles; n_chars follows the text. A text of which no word is left is a repeat and goes."""
     ship(spark)
-    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    words = lambda c: F.col(c).rlike(r"[^\x20\x09-\x0D]")
+    mark = "_".join(["had_words", *docs.columns])  # no column's name
+    left = line_dedup.dedup_lines(docs.withColumn(mark, F.coalesce(words("text"), F.lit(False))))
+    left = left.where(~F.col(f"`{mark}`") | F.coalesce(words("text"), F.lit(False)))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
