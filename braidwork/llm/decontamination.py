@@ -28,8 +28,6 @@ itself; texts and items may have any length; empty tables give no rows; ``decont
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,34 +50,23 @@ def _grams(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 
 def _fingerprints(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, fp1 and fp2: the SimHash of the words of each row.
-
-    Thirty-two sums count the 64 bits of each half, two to a sum, in lanes of 32 bits.
-    """
-    lanes = F.lit((1 << 32) + 1)
-    halves = [F.xxhash64("word"), F.xxhash64(F.lit(1), "word")]
-    sums = [F.sum(F.shiftrightunsigned(h, k).bitwiseAND(lanes)).alias(f"s{i}_{k}") for i, h in enumerate(halves) for k in range(32)]
-    counted = rows.select(*keys, F.explode("words").alias("word")).groupBy(*keys).agg(F.count("*").alias("n_words"), *sums)
+    """keys, fp1 and fp2: the SimHash of the words of each row, a bit where more than half of the words' hashes have it."""
 
-    def half(i: int) -> Column:
-        bits = [
-            F.when(F.shiftrightunsigned(f"s{i}_{k}", 32 * lane).bitwiseAND(F.lit(0xFFFFFFFF)) * 2 > F.col("n_words"), F.shiftleft(F.lit(1).cast("long"), k + 32 * lane)).otherwise(F.lit(0).cast("long"))
-            for k in range(32)
-            for lane in (0, 1)
-        ]
-        return functools.reduce(Column.bitwiseOR, bits)
+    def half(seed: int) -> Column:
+        hashes = f"transform(words, w -> xxhash64({seed}, w))"
+        common_bit = "2 * size(filter(h, x -> shiftrightunsigned(x, b) & 1L = 1L)) > size(h)"
+        # the array of one array is how SQL names a value
+        return F.expr(f"transform(array({hashes}), h -> aggregate(sequence(0, 63), 0L, (fp, b) -> fp | if({common_bit}, shiftleft(1L, b), 0L)))[0]")
 
-    return counted.select(*keys, half(0).alias("fp1"), half(1).alias("fp2"))
+    return rows.select(*keys, half(0).alias("fp1"), half(1).alias("fp2"))
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    each, own = [], BLOCKS // 2
-    for half in (0, 1):
-        cuts = [64 * b // own for b in range(own + 1)]
-        for b, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            value = F.shiftrightunsigned(f"fp{half + 1}", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long"))
-            each.append(F.struct(F.lit(half * own + b).alias("block"), value.alias("value")))
-    return rows.withColumn("b", F.explode(F.array(*each))).select("*", "b.block", "b.value").drop("b")
+    own = BLOCKS // 2  # of each half
+    lo, hi = f"64 * (b % {own}) div {own}", f"64 * (b % {own} + 1) div {own}"
+    value = f"shiftrightunsigned(if(b < {own}, fp1, fp2), int({lo})) & (shiftleft(1L, int({hi}) - int({lo})) - 1L)"
+    each = F.expr(f"transform(sequence(0, {BLOCKS - 1}), b -> struct(b as block, {value} as value))")
+    return rows.withColumn("b", F.explode(each)).select("*", "b.block", "b.value").drop("b")
 
 
 def _shingles(rows: DataFrame, keys: list[str]) -> DataFrame:
