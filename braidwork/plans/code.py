@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import paths, source_text
+from ..functions import config_text, paths, source_text
 from ..operators import graphs
 from ..tables import written
 
@@ -49,15 +49,41 @@ def package_roots(inputs: DataFrame) -> DataFrame:
     return inputs.where("kind = 'pubspec'").select("project_id", name.alias("package"), paths.parent_column("path").alias("root")).where("package <> ''").distinct()
 
 
+_CONFIG = "project_id string, path string, config_version long, packages array<struct<name: string, root_uri: string, package_uri: string, language_version: string, lib: string>>, generated string, generator string, generator_version string, diagnostics array<struct<code: string, severity: string>>"
+
+
+def config_analyses(inputs: DataFrame) -> DataFrame:
+    """A row for each package configuration: its entries, each with its library directory if that is in the project, and what is wrong."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(_CONFIG))
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                got = config_text.package_config(r["path"], r["source"] or "")
+                for p in got["packages"]:
+                    status, _, at = config_text.resolve_package_uri(got, f"package:{p['name']}/x")
+                    p["lib"] = at[: -len("/x")] if status == "resolved" and at and at.endswith("/x") else None
+                rows.append({"project_id": r["project_id"], **got})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    files = inputs.where("kind = 'package_config'").select(F.col("project_id").cast("string").alias("project_id"), "path", "source")
+    return files.mapInArrow(run, _CONFIG)
+
+
 def package_configs(inputs: DataFrame) -> DataFrame:
-    """(project_id, scope, package, lib): where each package config puts each package's library directory."""
-    entry = "struct<name: string, rootUri: string, packageUri: string>"
-    parsed = F.from_json("source", f"configVersion int, packages array<{entry}>")
-    files = inputs.where("kind = 'package_config'").select("project_id", paths.parent_column("path").alias("dir"), parsed.alias("c"))
-    each = files.where("c.configVersion = 2").select("project_id", "dir", F.explode("c.packages").alias("p"))
-    root = F.when(F.col("p.rootUri").contains("://"), F.regexp_replace("p.rootUri", "^file://", "")).otherwise(paths.joined_column(F.col("dir"), F.col("p.rootUri")))
-    lib = paths.joined_column(root, F.coalesce("p.packageUri", F.lit("lib/")))
-    return each.select("project_id", paths.parent_column("dir").alias("scope"), F.col("p.name").alias("package"), lib.alias("lib"))
+    """(project_id, scope, package, lib): where each package config puts each package's library directory.
+
+    A config with errors has no package, but still is the nearest one of the files below it.
+    """
+    found = config_analyses(inputs)
+    valid = (F.col("config_version") == config_text.SUPPORTED) & ~F.exists("diagnostics", lambda d: d["severity"] == "error")
+    scope = paths.parent_column(paths.parent_column("path"))
+    entries = F.when(valid, F.col("packages")).otherwise(F.array().cast("array<struct<name: string, root_uri: string, package_uri: string, language_version: string, lib: string>>"))
+    return found.select("project_id", scope.alias("scope"), F.explode_outer(entries).alias("p")).select("project_id", "scope", F.col("p.name").alias("package"), F.col("p.lib").alias("lib"))
 
 
 def _condition(c: Column) -> Column:

@@ -4,12 +4,12 @@ import pytest
 from .conftest import SMALL, same_rows
 
 import __spark_entry__ as entry
-from braidwork.plans import catalogue
+from braidwork.plans import catalogue, widget_tree
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES | widget_tree.ORACLES))
 def test_equals_sql(spark, name):
-    same_rows(entry.queries()[name](spark, SMALL), catalogue.ORACLES[name], SMALL)
+    same_rows(entry.queries()[name](spark, SMALL), entry.oracle_sql()[name], SMALL)
 
 
 def test_every_query_is_registered():
