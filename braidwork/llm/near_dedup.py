@@ -8,8 +8,8 @@ are buckets.
 2. In each bucket, every member is compared with the member of smallest id: a star, however large the
    bucket. Sets are read from the documents again and the links confirmed on them.
 3. Components of the confirmed links are found. Members of one bucket in different components are then
-   compared with each other; sizes and a sketch of 128 signature bits are tested inside the join, which only ids leave, and
-   the full sets of the pairs that this leaves are fetched and compared. The sketch passes over a link with a chance of about 1e-9 (six standard errors).
+   compared with each other; sizes, a sketch and the full sets are all tested inside the join, so that only
+   confirmed links leave it. The sketch passes over a link with a chance of about 1e-9 (six standard errors).
 4. Components of all links.
 
 A link that both steps would find within one component is looked at once only: it could not change any
@@ -158,7 +158,7 @@ def links(docs: DataFrame, percent: int, words: int = WORDS) -> tuple[DataFrame,
     placed = members.drop("head").join(group.withColumnRenamed("component", "own"), "node", "left").withColumn("own", F.coalesce("own", "node"))
     placed = common.written(placed, "placed-members")
     mixed = placed.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("bucket")
-    open_ = placed.join(mixed, "bucket")
+    open_ = placed.join(mixed, "bucket").join(sets, "node")
     x, y = open_.alias("x"), open_.alias("y")
     nx, ny = F.col("x.n"), F.col("y.n")
     far = F.bit_count(F.col("x.bits1").bitwiseXOR(F.col("y.bits1"))) + F.bit_count(F.col("x.bits2").bitwiseXOR(F.col("y.bits2")))
@@ -172,11 +172,10 @@ def links(docs: DataFrame, percent: int, words: int = WORDS) -> tuple[DataFrame,
         & (F.col("x.own") != F.col("y.own"))
         & (nx * 100 >= ny * percent)
         & (ny * 100 >= nx * percent)
-        & (far <= most),
+        & (far <= most)
+        & _linked(F.col("x.set"), F.col("y.set"), nx, ny, percent),
     ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    more = common.written(more.distinct(), "more-pairs")  # ids first; each pair's sets meet once
-    more = more.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    more = common.written(more.where(_linked(F.col("x"), F.col("y"), F.size("x"), F.size("y"), percent)).select("a", "b"), "more-links")
+    more = common.written(more.distinct(), "more-links")
     return known, confirmed.union(more)
 
 
