@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 
@@ -16,6 +17,16 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
+def _tidy() -> None:
+    """Collect this process's garbage, and give freed memory back to the system: models and samples that were fitted here would stay otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: lineage is cut, and a lost executor costs nothing that is done."""
     spark = df.sparkSession
@@ -23,7 +34,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     # Shuffle files of the tables before go when the driver collects its garbage, which may be never. The event
     # queue holds on to the plan of the last query until another one comes.
     spark.range(1).count()
-    gc.collect()
+    _tidy()
     spark.sparkContext._jvm.System.gc()
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -246,12 +246,15 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Model:
     for r in counted.mapInArrow(_packed, "lang string, grams binary, n binary").collect():  # in all as large as the sample's distinct grams
         found.setdefault(r["lang"], []).append((np.frombuffer(r["grams"], "<u4").reshape(-1, ORDER), np.frombuffer(r["n"], "<i8")))
     names = sorted(found)
+    r = None
     if not names:
         return Model([], [], Table(np.zeros(0, np.uint64), np.zeros((0, 0), np.float32)))
     own = {name: (np.concatenate([g for g, _ in found[name]]), np.concatenate([n for _, n in found[name]])) for name in names}
+    found.clear()
     every = np.concatenate([own[name][0] for name in names])
     alphabet = len(np.unique(every)) + 1
     models = [KneserNey.fit(*own[name], alphabet) for name in names]
+    own.clear()
     h, first = np.unique(_hash_rows(every), return_index=True)
     logs = np.stack([np.log(m.probability(every[first])) for m in models], 1).astype(np.float32)
     model = Model(names, models, Table(h, logs))
