@@ -144,6 +144,54 @@ def test_lm_classes_are_a_distribution():
             assert (10 ** v.log_in_class[:-1][v.classes == k]).sum() == pytest.approx(1)
 
 
+def test_lm_parts_are_a_distribution():
+    import numpy as np
+
+    counts = np.array([50, 40, 30] * 9 + list(range(1, 400)), np.float64)
+    v = lm_scoring.Vocabulary.of(np.arange(len(counts)), counts, int(counts.sum()) + 100, len(counts) + 20)
+    w = np.random.default_rng(5).normal(size=(lm_scoring.ALL_ROWS, lm_scoring.CLASSES)).astype(np.float32)
+    history = lm_scoring._history(np.array([7, 8, 9]), np.array([0]))
+    past = [x[2:] for x in history]
+    logs = lm_scoring._class_logs(w, v.priors, lm_scoring._rows(past, lm_scoring.BUCKETS, 0))[0]
+    total = np.exp(logs[-1])
+    for k in range(lm_scoring.CLASSES - 1):
+        own = v.classes == k
+        p = 10 ** v.log_in_class[:-1][own]
+        if k >= lm_scoring.SINGLES:
+            band = np.array([k - lm_scoring.SINGLES])
+            parts = lm_scoring._class_logs(w, v.part_priors[band], lm_scoring._part_rows(past, band))[0]
+            p = p * np.exp(parts - v.part_priors[band[0]])[v.parts[own]]
+            assert set(v.parts[own]) <= set(range(lm_scoring.PARTS))
+        total += np.exp(logs[k]) * p.sum()
+    assert total == pytest.approx(1, abs=1e-3)
+
+
+def test_lm_learns_what_follows_uncommon_words(spark):
+    """Words that no class has to itself: what follows them is learned by their part."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(400):
+        w, out = rng.randrange(60), []
+        for _ in range(150):
+            out.append(f"w{w}")
+            w = (w * 7 + 1) % 60 if rng.random() < 0.95 else rng.randrange(60)
+        rows.append((k, " ".join(out)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r for r in lm_scoring.score(docs, *lm_scoring.fit(docs.where(~lm_scoring.held_out()))).collect() if zlib.crc32(str(r.doc_id).encode()) % 7 == 2]
+    assert sum(r.score for r in got) > 0.6 * sum(r.base_score for r in got)
+
+
+def test_lm_scores_hardly_depend_on_tasks(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    per_word = []
+    for tasks in (2, 9):
+        own = docs.repartition(tasks, "doc_id")
+        got = [r for r in lm_scoring.score(own, *lm_scoring.fit(own.where(~lm_scoring.held_out()))).collect() if zlib.crc32(str(r.doc_id).encode()) % 7 == 2]
+        per_word.append(sum(r.score for r in got) / sum(r.n_tokens for r in got))
+        assert sum(r.score for r in got) > sum(r.base_score for r in got)
+    assert per_word[0] == pytest.approx(per_word[1], rel=0.02)
+
+
 def test_lm_learns_order(spark):
     rng = random.Random(2)
     rows = []
@@ -155,7 +203,7 @@ def test_lm_learns_order(spark):
         rows.append((k, " ".join(out)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [r for r in lm_scoring.score(docs, *lm_scoring.fit(docs.where(~lm_scoring.held_out()))).collect() if zlib.crc32(str(r.doc_id).encode()) % 7 == 2]
-    assert sum(r.score for r in got) > 0.9 * sum(r.base_score for r in got)
+    assert sum(r.score for r in got) > 0.8 * sum(r.base_score for r in got)
 
 
 def test_lm_without_texts(spark):
