@@ -102,17 +102,21 @@ class Vocabulary:
         if not hasattr(self, "starts"):
             own = (self.hashes.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(46)
             self.starts = np.searchsorted(own, np.arange((1 << 18) + 1, dtype=np.uint64)).astype(np.int32)
-            self.most = int(np.diff(self.starts).max()) if len(own) else 0
         out = np.full(len(h), len(self.hashes), np.int32)
-        at = self.starts[(h.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(46)]
-        for _ in range(self.most):
-            ok = at < len(self.hashes)
-            np.copyto(out, at, where=ok & (self.hashes[np.where(ok, at, 0)] == h))
-            at = at + 1
+        key = (h.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(46)
+        at, end = self.starts[key], self.starts[key + np.uint64(1)]
+        left = np.flatnonzero(at < end)
+        while len(left):
+            here = at[left]
+            hit = self.hashes[here] == h[left]
+            out[left[hit]] = here[hit]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
         return out
 
     def __getstate__(self) -> dict:
-        return {k: x for k, x in self.__dict__.items() if k not in ("starts", "most")}
+        return {k: x for k, x in self.__dict__.items() if k != "starts"}
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -161,26 +165,43 @@ def _part_rows(history: list[np.ndarray], band: np.ndarray) -> list[np.ndarray]:
     return _rows([x ^ _BAND[band] for x in history], PART_BUCKETS, ROWS)
 
 
-def _class_logs(w: np.ndarray, prior: np.ndarray, feats: list[np.ndarray]) -> np.ndarray:
-    z = w[feats[0]] + prior
+_ONES = np.ones(CLASSES, np.float32)
+
+
+def _logits(w: np.ndarray, prior: np.ndarray, feats: list[np.ndarray]) -> np.ndarray:
+    z = w.take(feats[0], axis=0)
+    z += prior
     for f in feats[1:]:
-        z += w[f]
-    z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+        z += w.take(f, axis=0)
+    return np.clip(z, -80, 80, out=z)  # exp() of these, and sums of it, are single floats
+
+
+def _class_logs(w: np.ndarray, prior: np.ndarray, feats: list[np.ndarray]) -> np.ndarray:
+    z = _logits(w, prior, feats)
+    return z - np.log(np.exp(z) @ _ONES)[:, None]
+
+
+def _target_logs(w: np.ndarray, prior: np.ndarray, feats: list[np.ndarray], target: np.ndarray) -> np.ndarray:
+    z = _logits(w, prior, feats)
+    own = z[np.arange(len(z)), target]
+    return own - np.log(np.exp(z, out=z) @ _ONES)
 
 
 def _step(w: np.ndarray, squares: np.ndarray, prior: np.ndarray, feats: list[np.ndarray], target: np.ndarray) -> None:
     """One AdaGrad step, with one sum of squares for each feature."""
-    grad = -np.exp(_class_logs(w, prior, feats))
+    grad = _logits(w, prior, feats)
+    np.exp(grad, out=grad)
+    grad *= (-1 / (grad @ _ONES))[:, None]
     grad[np.arange(len(grad)), target] += 1
     for f in feats:
-        order = np.argsort(f, kind="stable")
+        order = np.argsort((f - f.min()).astype(np.uint16), kind="stable")  # a kind of feature has at most 65,536 rows
         own = f[order]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         rows = own[first]
-        g = np.add.reduceat(grad[order], first, axis=0)
+        g = np.add.reduceat(grad.take(order, axis=0), first, axis=0)
         squares[rows] += np.einsum("ij,ij->i", g, g) / g.shape[1]
-        w[rows] += g * (RATE / np.sqrt(squares[rows]))[:, None]
+        g *= (RATE / np.sqrt(squares[rows]))[:, None]
+        w[rows] += g
 
 
 def _flat(column: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
@@ -279,12 +300,10 @@ def _scored(rows: DataFrame, counts: DataFrame, vocab: Vocabulary, weights: np.n
                 history = _history(h, starts)
                 for a in range(0, len(h), STEP):
                     k, part, past = klass_of[at[a : a + STEP]], part_of[at[a : a + STEP]], [x[a : a + STEP] for x in history]
-                    logs = _class_logs(w, v.priors, _rows(past, BUCKETS, 0))
-                    gain = logs[np.arange(len(k)), k]
+                    gain = _target_logs(w, v.priors, _rows(past, BUCKETS, 0), k)
                     inner = np.flatnonzero((k >= SINGLES) & (k < CLASSES - 1))
                     band, part = k[inner] - SINGLES, part[inner]
-                    logs = _class_logs(w, v.part_priors[band], _part_rows([x[inner] for x in past], band)) if len(inner) else np.zeros((0, PARTS))
-                    gain[inner] += logs[np.arange(len(inner)), part] - v.part_priors[band, part]  # in place of the part's share by counts
+                    gain[inner] += _target_logs(w, v.part_priors[band], _part_rows([x[inner] for x in past], band), part) - v.part_priors[band, part]  # in place of the part's share by counts
                     model[a : a + STEP] += gain / np.log(10)
                 rare = at == len(v.hashes)
                 per_row = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
