@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from . import code, conventions
+from . import code, conventions, incremental
 from .catalogue import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +183,47 @@ union all select path, 'W', 'W', path || '::class:W', true from files
 def code_constructors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The constructors of each class, the implicit one of a class without any included."""
     return conventions.constructors(conventions.code_facts(tree(spark, sf_dir))).select("path", "owner", "constructor", "symbol_id", "implicit")
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree after an edit, by the key's last digit: 0 is removed, 1 gets a class, 2 another import, 3 a comment, 4 a new file beside it."""
+    files = table(spark, sf_dir, "part").select(F.concat(F.lit("lib/p"), "p_partkey", F.lit(".dart")).alias("path"), F.col("p_partkey").alias("k"))
+    digit = F.col("k") % 10
+    kept = tree(spark, sf_dir).where("kind = 'dart'").join(files, "path").where(digit != 0)
+    source = F.when(digit == 1, F.concat("source", F.lit("class Extra {}\n"))).when(digit == 2, F.replace("source", F.lit("material.dart"), F.lit("widgets.dart"))).when(digit == 3, F.concat("source", F.lit("// tail\n"))).otherwise(F.col("source"))
+    added = files.where(digit == 4).select(F.lit("parts").alias("project_id"), F.lit("dart").alias("kind"), F.concat(F.lit("lib/q"), "k", F.lit(".dart")).alias("path"), F.concat(F.lit("class lower"), "k", F.lit(" {}\n")).alias("source"))
+    return kept.select("project_id", "kind", "path", source.alias("source")).union(added)
+
+
+def _state(inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    facts = code.written(code.extracted(inputs), "facts")
+    return facts, code.written(code.uri_edges(facts, inputs), "uri-edges")
+
+
+@_registered("""
+select case when k % 10 = 4 then 'lib/q' || k || '.dart' else path end as path, case k % 10 when 0 then 'removed' when 4 then 'added' else 'changed' end as change,
+  case k % 10 when 1 then 'declarations' when 2 then 'directives,constants,declarations' else '' end as changed_fields,
+  true as project, k % 10 <> 1 as uri_graph, k % 10 in (0, 4) as part_links, true as identifier_references, true as propagate_dependents
+from files where k % 10 in (0, 1, 2, 4)
+""")
+def code_rebuild_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an edit of the tree makes necessary, file by file."""
+    plan = incremental.rebuild_plan(code.extracted(tree(spark, sf_dir)), code.extracted(_edited(spark, sf_dir)))
+    return plan.select("path", "change", F.array_join("changed_fields", ",").alias("changed_fields"), *incremental.SUBSYSTEMS)
+
+
+_RULES = {"enabled_rules": ["forbidden_import", "naming_convention"], "forbidden_imports": [{"pattern": "package:flutter/", "kind": "prefix"}]}
+
+
+@_registered("""
+select path, 'forbidden_import' as rule_id, 'import ''package:flutter/' || case when k % 10 = 2 then 'widgets' else 'material' end || '.dart'' is forbidden by ''package:flutter/''' as message,
+  (instr(src, 'import') - 1)::bigint as byte_start from files where k % 10 <> 0
+union all select 'lib/q' || k || '.dart', 'naming_convention', '''lower' || k || ''' is not UpperCamelCase', 0::bigint from files where k % 10 = 4
+""")
+def code_incremental_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings after the edit: those of untouched libraries are kept, the others computed."""
+    old, new = _state(tree(spark, sf_dir).where("kind = 'dart'")), _state(_edited(spark, sf_dir))
+    kept = code.written(code.lint(*old, _RULES), "findings")
+    paths = incremental.affected_paths(incremental.rebuild_plan(old[0], new[0]), old, new)
+    own = incremental.affected_libraries(paths, incremental.libraries(*old), incremental.libraries(*new))
+    return incremental.lint_update(kept, own, old, new, _RULES).select("path", "rule_id", "message", F.col("span.byte_start").alias("byte_start"))
