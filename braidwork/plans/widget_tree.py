@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from . import code, conventions, incremental
+from . import assets, code, conventions, ecosystem, incremental
 from .catalogue import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -227,3 +227,30 @@ def code_incremental_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = incremental.affected_paths(incremental.rebuild_plan(old[0], new[0]), old, new)
     own = incremental.affected_libraries(paths, incremental.libraries(*old), incremental.libraries(*new))
     return incremental.lint_update(kept, own, old, new, _RULES).select("path", "rule_id", "message", F.col("span.byte_start").alias("byte_start"))
+
+
+#: A project for each part: what it depends on, and a view that uses it.
+SPEC = "name: e@K\ndependencies:\n  provider: @V\n"
+VIEW = "import 'package:provider/provider.dart';\nimport 'package:flutter_bloc/flutter_bloc.dart';\nf(c) { c.watch(@K); watch(1); return MultiProvider(); }\n"
+#: Constraints by the key's last digit; none for the others.
+CONSTRAINTS = ["^6.0.0", "'>=5.0.0 <6.0.1'", "'>=7.0.0'", "any", "6.1.5+1", "<6.0.0", "'>5.0.0 || 6'"]
+
+
+@_registered("""
+, s as (select 'e' || k as project_id, case when k % 10 in (0, 1, 4) then 'active' when k % 10 in (2, 5) then 'unsupported_version' when k % 10 in (3, 6) then 'unverifiable_version' else 'dependency_missing' end as status from files)
+select project_id, convention, case when convention = 'provider' then status else 'dependency_missing' end as status,
+  case when convention = 'provider' and status = 'active' then 'BuildContext.watch,MultiProvider' else '' end as patterns
+from s, (values ('provider'), ('flutter_bloc')) as c(convention)
+""")
+def code_ecosystem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which conventions hold in each project, and the patterns found."""
+    part = table(spark, sf_dir, "part").select(F.concat(F.lit("e"), "p_partkey").alias("project_id"), F.col("p_partkey").cast("string").alias("k"), (F.col("p_partkey") % 10).cast("int").alias("digit"))
+    constraint = F.get(F.array(*map(F.lit, CONSTRAINTS)), F.col("digit"))
+    spec = F.when(constraint.isNull(), F.replace(F.lit("name: e@K\n"), F.lit("@K"), F.col("k"))).otherwise(F.replace(F.replace(F.lit(SPEC), F.lit("@K"), F.col("k")), F.lit("@V"), constraint))
+    file = lambda kind, path, source: part.select("project_id", F.lit(kind).alias("kind"), F.lit(path).alias("path"), source.alias("source"))
+    inputs = file("pubspec", "pubspec.yaml", spec).union(file("dart", "lib/view.dart", F.replace(F.lit(VIEW), F.lit("@K"), F.col("k"))))
+    facts = code.written(code.extracted(inputs), "facts")
+    states = code.written(ecosystem.statuses(facts, assets.pubspecs(inputs), ["provider", "flutter_bloc"]), "conventions")
+    found = ecosystem.findings(facts, conventions.code_facts(inputs), states)
+    each = found.groupBy("project_id", "convention").agg(F.array_join(F.array_sort(F.collect_set("pattern")), ",").alias("patterns"))  # at most the table's
+    return states.join(each, ["project_id", "convention"], "left").select("project_id", "convention", "status", F.coalesce("patterns", F.lit("")).alias("patterns"))
