@@ -75,6 +75,10 @@ def ordered_edges(edges: DataFrame) -> DataFrame:
 
 def _project(args: argparse.Namespace) -> tuple[DataFrame, DataFrame, DataFrame, list[dict]]:
     spark = ship(session())
+    try:
+        projects.reject_symlinks(args.path)
+    except ValueError as e:
+        raise Failure(INPUT, "input_symlink_rejected", str(e).partition(": ")[2]) from e
     try:
         inputs, twice = projects.unique_inputs(projects.within_budget(projects.read_tree(spark, args.path)))
     except ValueError as e:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,38 @@ SKIPPED = [".dart_tool", ".git", ".idea", ".pub-cache", ".vscode", "build", "cov
 FILE_BYTES, PROJECT_FILES, PROJECT_BYTES = 8 << 20, 20_000, 256 << 20
 
 
+def reject_symlinks(root: str) -> None:
+    """Fails on a link below a local root that leads out of it, to a directory, or to nothing; links to files within it are read.
+
+    Other stores have no links. Directories that are skipped are not looked into, but for a package's config.
+    """
+    base = Path(root)
+    if not base.is_dir():
+        return
+    inside = base.resolve()
+
+    def check(link: Path) -> None:
+        at = link.resolve()
+        if not at.is_relative_to(inside):
+            why = "leads out of the project"
+        elif at.is_dir():
+            why = "leads to a directory"
+        elif not at.is_file():
+            why = "leads to no regular file"
+        else:
+            return
+        raise ValueError(f"input_symlink_rejected: {link} {why}")
+
+    for here, below, files in os.walk(base):
+        for name in (*below, *files):
+            if (link := Path(here, name)).is_symlink():
+                check(link)
+        below[:] = [d for d in below if d not in SKIPPED]
+        config = Path(here, ".dart_tool", "package_config.json")
+        if "pubspec.yaml" in files and config.is_symlink():
+            check(config)
+
+
 def read_tree(spark: SparkSession, root: str, project_id: str = "project") -> DataFrame:
     """(project_id, kind, path, source, n_bytes) of a tree's Dart files, pubspecs, package configs and catalogs.
 
@@ -38,8 +73,8 @@ def read_tree(spark: SparkSession, root: str, project_id: str = "project") -> Da
 
 
 def within_budget(inputs: DataFrame) -> DataFrame:
-    """inputs unchanged; the job fails if a file or a project is beyond its budget."""
-    sized = inputs.withColumn("__n", F.octet_length("source"))
+    """inputs unchanged; the job fails if a file or a project is beyond its budget. Where sizes are listed, no content is read for it."""
+    sized = inputs.withColumn("__n", F.col("n_bytes") if "n_bytes" in inputs.columns else F.octet_length("source"))
     over = F.sum("__n") > PROJECT_BYTES
     found = sized.groupBy("project_id").agg((over | (F.count("*") > PROJECT_FILES) | (F.max("__n") > FILE_BYTES)).alias("over")).where("over").select("project_id")
     bad = [r["project_id"] for r in found.limit(5).collect()]  # a report of a few

@@ -123,3 +123,34 @@ def test_tree_scan_and_duplicates(spark, tmp_path):
     good, said = projects.unique_inputs(again)
     assert {r.path for r in good.collect()} == set(FILES) - {"lib/b.dart"}
     assert {(r.path, r.severity) for r in said.collect()} == {("lib/a.dart", "warning"), ("lib/b.dart", "error")}
+
+
+def test_symlinks(spark, tmp_path):
+    import pytest
+
+    root, far = tmp_path / "root", tmp_path / "far"
+    for d in (root / "lib", root / "build", far):
+        d.mkdir(parents=True)
+    (root / "lib/a.dart").write_text("class A {}\n")
+    (far / "x.dart").write_text("")
+    (root / "lib/near.dart").symlink_to(root / "lib/a.dart")
+    (root / "build/out.dart").symlink_to(far / "x.dart")
+    projects.reject_symlinks(str(root))
+    assert {r.path: r.source for r in projects.read_tree(spark, str(root)).collect()} == dict.fromkeys(("lib/a.dart", "lib/near.dart"), "class A {}\n")
+    for name, to in (("out.dart", far / "x.dart"), ("dir", root / "build"), ("gone.dart", root / "none")):
+        (root / name).symlink_to(to)
+        with pytest.raises(ValueError, match="input_symlink_rejected"):
+            projects.reject_symlinks(str(root))
+        (root / name).unlink()
+    projects.reject_symlinks("s3a://bucket/none")
+
+
+def test_budget_reads_no_content(spark, tmp_path, monkeypatch):
+    import pytest
+
+    (tmp_path / "a.dart").write_text("class A {}\n")
+    tree = projects.read_tree(spark, str(tmp_path))
+    assert projects.within_budget(tree) is tree
+    monkeypatch.setattr(projects, "FILE_BYTES", 3)
+    with pytest.raises(ValueError, match="input_limit_exceeded"):
+        projects.within_budget(tree)
