@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Collection
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import calls_text
 from ..tables import written
 from . import assets
-from .code import _SPAN
+from .code import _FACTS, _SPAN
 
 _ARGUMENT = "struct<name: string, expression: string, string_value: string, map_entries: array<struct<key: string, string_key: string, value: string, byte_start: long, byte_end: long>>, byte_start: long, byte_end: long>"
 _SCHEMA = (
@@ -22,21 +25,44 @@ _SCHEMA = (
 )
 
 
-def code_facts(inputs: DataFrame, parser=calls_text.facts) -> DataFrame:
-    """Members, bindings, invocations and references of each Dart file, in one pass over it."""
+def code_facts(inputs: DataFrame, parser: Callable[[str, str], dict] | None = None, only: Collection[str] = calls_text.FIELDS, lines: bool = True) -> DataFrame:
+    """Members, bindings, invocations and references of each Dart file, in one pass over it.
+
+    only: the fields that are wanted, those of code.extracted too; ``invocations.target`` is one field of a list's structs.
+    What is not wanted is not computed. Without lines, spans are byte ranges alone. parser: (path, source) -> facts, in place of this one.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    schema = to_arrow_schema(StructType.fromDDL(_SCHEMA))
+    every = StructType([*StructType.fromDDL(_SCHEMA).fields, *StructType.fromDDL(_FACTS).fields[2:]])
+    shape = StructType([*every.fields[:2], *_pruned(StructType(every.fields[2:]), set(only), lines).fields])
+    schema = to_arrow_schema(shape)
+    parts = {".".join(f.split(".")[:n]) for f in only for n in (1, 2)}
+    parse = parser or (lambda path, source: calls_text.wanted(path, source, parts, lines))
 
     def run(batches):
         for batch in batches:
             for lo in range(0, len(batch), 100):
-                rows = [{"project_id": r["project_id"], **parser(r["path"], r["source"] or "")} for r in batch.slice(lo, 100).to_pylist()]
+                rows = [{"project_id": r["project_id"], **parse(r["path"], r["source"] or "")} for r in batch.slice(lo, 100).to_pylist()]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     files = inputs.where("kind = 'dart'").select(F.col("project_id").cast("string").alias("project_id"), "path", "source")
-    return files.mapInArrow(run, _SCHEMA)
+    return files.mapInArrow(run, shape)
+
+
+def _pruned(shape: StructType, only: set[str], lines: bool) -> StructType:
+    """shape with the fields that only names, by their dotted paths; a field named without any below it is whole."""
+    out = StructType()
+    for f in shape.fields:
+        below = {o.split(".", 1)[1] for o in only if o.startswith(f"{f.name}.")}
+        if only and f.name not in only and not below:
+            continue
+        inner = f.dataType.elementType if isinstance(f.dataType, ArrayType) else f.dataType
+        if isinstance(inner, StructType):
+            inner = StructType(inner.fields[:2]) if not lines and inner.names[:2] == ["byte_start", "byte_end"] else _pruned(inner, below, lines)
+            out.add(f.name, ArrayType(inner) if isinstance(f.dataType, ArrayType) else inner)
+        else:
+            out.add(f)
+    return out
 
 
 def members(code: DataFrame) -> DataFrame:

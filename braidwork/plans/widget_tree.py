@@ -43,10 +43,16 @@ _FILES = f"""files as (select 'lib/p' || p_partkey || '.dart' as path, p_partkey
   replace(replace('{_QUOTED}', '@K', p_partkey::varchar), '@S', p_size::varchar) as src from part)"""
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and sizes of the parts, dealt out to more tasks than cores: a table of a few MB is read in one, and its files take far longer to parse than to move as keys."""
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(tasks, "p_partkey")
+
+
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files, and one ARB catalog with KEYS messages."""
     text = F.replace(F.replace(F.lit(FILE), F.lit("@K"), F.col("p_partkey").cast("string")), F.lit("@S"), F.col("p_size").cast("string"))
-    files = table(spark, sf_dir, "part").select(F.lit("parts").alias("project_id"), F.lit("dart").alias("kind"), F.concat(F.lit("lib/p"), "p_partkey", F.lit(".dart")).alias("path"), text.alias("source"))
+    files = _parts(spark, sf_dir).select(F.lit("parts").alias("project_id"), F.lit("dart").alias("kind"), F.concat(F.lit("lib/p"), "p_partkey", F.lit(".dart")).alias("path"), text.alias("source"))
     catalog = '{"@@locale": "en", ' + ", ".join(f'"key{k}": "text {k}"' for k in range(1, KEYS + 1)) + "}"
     arb = spark.range(1).select(F.lit("parts").alias("project_id"), F.lit("arb").alias("kind"), F.lit("lib/l10n/app_en.arb").alias("path"), F.lit(catalog).alias("source"))
     return files.union(arb)
@@ -71,7 +77,8 @@ select path, m.kind as kind, m.name as name, m.id as symbol_id, m.parent as pare
 """)
 def code_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every declaration of every file, members and locals with their ids."""
-    return conventions.members(conventions.code_facts(tree(spark, sf_dir))).select("path", "kind", "name", "symbol_id", "parent_symbol_id")
+    wanted = ["kind", "name", "symbol_id", "parent_symbol_id"]
+    return conventions.members(conventions.code_facts(tree(spark, sf_dir), only=[f"members.{w}" for w in wanted], lines=False)).select("path", *wanted)
 
 
 @_registered("""
