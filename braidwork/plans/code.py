@@ -166,38 +166,48 @@ def _lets_through(name: Column, combinators: Column) -> Column:
 
 
 def resolve(facts: DataFrame, edges: DataFrame, queries: DataFrame) -> DataFrame:
-    """queries (project_id, source_path, name, prefix) with status, basis and the sole candidate.
+    """queries (project_id, source_path, name, prefix) with status, basis and the sole candidate; other columns are kept.
 
     A declaration of the same file comes first, then of the same library, then what imports make visible,
     through exports with their show and hide; the first of these that has any decides.
+    Each query meets its own file once, which decides those of the same file; the others look up libraries
+    of several files, imports and names that are declared anywhere, by equi-joins whose small sides are tables of their own.
     """
-    queries = written(queries.withColumn("q", F.monotonically_increasing_id()), "symbol-queries")
+    more = [c for c in queries.columns if c not in ("project_id", "source_path", "name", "prefix")]
     owner = written(owners(facts, part_links(facts, edges)), "library-owners")
-    decls = facts.select("project_id", "path", F.explode("declarations").alias("d")).select("project_id", "path", F.col("d.name").alias("name"), "d.symbol_id", "d.span").join(owner, ["project_id", "path"])
-    decls = written(decls, "declared")
-    home = queries.join(owner.select("project_id", F.col("path").alias("source_path"), F.col("owner").alias("home")), ["project_id", "source_path"], "left")
-    own = home.where("prefix is null").join(decls, ["project_id", "name"]).where((F.col("path") == F.col("source_path")) | (F.col("owner") == F.col("home")))
-    own = own.select("q", F.when(F.col("path") == F.col("source_path"), 0).otherwise(1).alias("tier"), "symbol_id", F.when(F.col("path") == F.col("source_path"), "same_file").otherwise("same_library").alias("basis"))
+    named = F.transform("declarations", lambda d: F.struct(d["name"].alias("name"), d["symbol_id"].alias("symbol_id"))).alias("declarations")
+    files = facts.select("project_id", "path", named).join(owner, ["project_id", "path"])
+    decls = written(files.select("project_id", "path", "owner", F.explode("declarations").alias("d")).select("project_id", "path", "owner", "d.name", "d.symbol_id"), "declared")
+    at_home = files.select("project_id", F.col("path").alias("source_path"), F.col("owner").alias("home"), "declarations", F.lit(True).alias("is_file"))
+    own = F.array_distinct(F.transform(F.filter("declarations", lambda d: F.col("prefix").isNull() & (d["name"] == F.col("name"))), lambda d: d["symbol_id"]))
+    home = queries.join(at_home, ["project_id", "source_path"], "left").withColumn("own", F.coalesce(own, F.array().cast("array<string>"))).drop("declarations")
+    home = written(home.withColumn("q", F.monotonically_increasing_id()), "symbol-queries")
+    open_ = home.where((F.size("own") == 0) & F.col("home").isNotNull())
+    several = owner.where("path <> owner").select("project_id", "owner").distinct()
+    shared = written(decls.join(several, ["project_id", "owner"]).select("project_id", "name", F.col("owner").alias("home"), "path", "symbol_id"), "shared")
+    fellow = open_.where("prefix is null").join(shared, ["project_id", "name", "home"]).where(F.col("path") != F.col("source_path")).select("q", F.lit(1).alias("tier"), "symbol_id", F.lit("same_library").alias("basis"))
     used = edges.where("resolution = 'resolved' and condition is null")
     imports = used.where("kind = 'import'").join(owner.select("project_id", F.col("path").alias("source_path"), F.col("owner").alias("home")), ["project_id", "source_path"]).select(
         "project_id", "home", F.col("prefix").alias("i_prefix"), "is_deferred", "combinators", F.col("target_path").alias("node")
     )
-    starts = home.where(~F.col("name").startswith("_")).join(imports, ["project_id", "home"]).where(F.col("prefix").eqNullSafe(F.col("i_prefix")) & (F.col("prefix").isNotNull() | ~F.col("is_deferred")) & _lets_through(F.col("name"), F.col("combinators")))
+    imports = written(imports, "imports")
+    starts = open_.where(~F.col("name").startswith("_")).join(imports, ["project_id", "home"]).where(F.col("prefix").eqNullSafe(F.col("i_prefix")) & (F.col("prefix").isNotNull() | ~F.col("is_deferred")) & _lets_through(F.col("name"), F.col("combinators")))
     exports = written(used.where("kind = 'export'").select("project_id", F.col("source_path").alias("src"), F.col("target_path").alias("dst"), "combinators"), "exports")
     roots = written(starts.select("project_id", "q", "name", "node").distinct(), "import-roots")
     seen = graphs.reachable(exports, roots, ["project_id", "q", "name"], allow=_lets_through(F.col("name"), F.col("combinators")))
     found = seen.join(decls, (seen["project_id"] == decls["project_id"]) & (seen["name"] == decls["name"]) & (seen["node"] == decls["owner"]))
     brought = found.select("q", F.lit(2).alias("tier"), "symbol_id", F.when(F.col("depth") == 0, "direct_import").otherwise("re_export").alias("basis"))
-    each = own.unionByName(brought).groupBy("q", "tier", "symbol_id").agg(F.min("basis").alias("basis"))  # direct_import sorts before re_export
+    each = fellow.unionByName(brought).groupBy("q", "tier", "symbol_id").agg(F.min("basis").alias("basis"))  # direct_import sorts before re_export
     counted = each.groupBy("q", "tier").agg(F.count("*").alias("n"), F.min(F.struct("symbol_id", "basis")).alias("c"))
-    best = counted.groupBy("q").agg(F.min(F.struct("tier", "n", "c")).alias("b"))
-    anywhere = decls.select("project_id", "name").distinct().withColumn("anywhere", F.lit(True))
-    out = home.withColumn("has_source", F.col("home").isNotNull()).join(best, "q", "left").join(anywhere, ["project_id", "name"], "left")
-    files = facts.select("project_id", F.col("path").alias("source_path"), F.lit(True).alias("is_file"))
-    out = out.join(files, ["project_id", "source_path"], "left")
-    status = F.when(F.col("is_file").isNull(), "source_file_missing").when(F.col("b.n") == 1, "resolved").when(F.col("b.n") > 1, "ambiguous").when(F.col("anywhere"), "not_visible").otherwise("missing")
-    sole = F.col("b.n") == 1
-    return out.select("project_id", "source_path", "name", "prefix", status.alias("status"), F.when(sole, F.col("b.c.basis")).alias("basis"), F.when(sole, F.col("b.c.symbol_id")).alias("symbol_id"))
+    best = written(counted.groupBy("q").agg(F.min(F.struct("tier", "n", "c")).alias("b")), "best")
+    asked = home.where(F.size("own") == 0).select("project_id", "name").distinct()
+    anywhere = written(decls.select("project_id", "name").distinct().join(asked, ["project_id", "name"], "left_semi").withColumn("anywhere", F.lit(True)), "named-anywhere")
+    out = home.join(best, "q", "left").join(anywhere, ["project_id", "name"], "left")
+    n = F.when(F.size("own") > 0, F.size("own")).otherwise(F.col("b.n"))
+    status = F.when(F.col("is_file").isNull(), "source_file_missing").when(n == 1, "resolved").when(n > 1, "ambiguous").when(F.col("anywhere"), "not_visible").otherwise("missing")
+    basis = F.when(F.size("own") > 0, "same_file").otherwise(F.col("b.c.basis"))
+    symbol = F.coalesce(F.get("own", F.lit(0)), F.col("b.c.symbol_id"))
+    return out.select("project_id", "source_path", "name", "prefix", status.alias("status"), F.when(n == 1, basis).alias("basis"), F.when(n == 1, symbol).alias("symbol_id"), *more)
 
 
 def summary(facts: DataFrame, edges: DataFrame) -> DataFrame:

@@ -219,11 +219,13 @@ def definitions(code: DataFrame, facts: DataFrame, edges: DataFrame) -> DataFram
     """The declaration that each namespace reference means: (project_id, path, byte_start, name, prefix, kind, status, basis, symbol_id)."""
     from . import code as linking
 
-    refs = references(code).where(F.col("kind").isin(NAMESPACE_KINDS)).select("project_id", "path", F.col("span.byte_start").alias("byte_start"), "name", "prefix", "kind")
-    asked = refs.select("project_id", F.col("path").alias("source_path"), "name", "prefix").distinct()
-    found = linking.resolve(facts, edges, asked).withColumnRenamed("source_path", "path")
-    same = (F.col("r.project_id") == F.col("f.project_id")) & (F.col("r.path") == F.col("f.path")) & (F.col("r.name") == F.col("f.name")) & F.col("r.prefix").eqNullSafe(F.col("f.prefix"))
-    return refs.alias("r").join(found.alias("f"), same).select("r.project_id", "r.path", "r.byte_start", "r.name", "r.prefix", "r.kind", "f.status", "f.basis", "f.symbol_id")
+    refs = F.filter("references", lambda r: r["kind"].isin(NAMESPACE_KINDS))
+    names = F.array_distinct(F.transform("refs", lambda r: F.struct(r["name"].alias("name"), r["prefix"].alias("prefix"))))
+    each = code.select("project_id", "path", refs.alias("refs")).select("project_id", "path", "refs", F.explode(names).alias("n"))
+    places = F.transform(F.filter("refs", lambda r: (r["name"] == F.col("n.name")) & r["prefix"].eqNullSafe(F.col("n.prefix"))), lambda r: F.struct(r["span"]["byte_start"].alias("byte_start"), r["kind"].alias("kind")))
+    asked = each.select("project_id", F.col("path").alias("source_path"), "n.name", "n.prefix", places.alias("places"))  # a name is asked for once a file
+    found = linking.resolve(facts, edges, asked).withColumn("p", F.explode("places"))
+    return found.select("project_id", F.col("source_path").alias("path"), "p.byte_start", "name", "prefix", "p.kind", "status", "basis", "symbol_id")
 
 
 def constructors(code: DataFrame) -> DataFrame:

@@ -171,8 +171,9 @@ def code_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs = tree(spark, sf_dir)
-    facts = code.written(code.extracted(inputs), "facts")
-    return conventions.definitions(conventions.code_facts(inputs), facts, code.written(code.uri_edges(facts, inputs), "uri-edges"))
+    wanted = ["references.name", "references.prefix", "references.kind", "references.span", "library", "part_of_uri", "part_of_name", "directives", "parts", "declarations"]
+    facts = code.written(conventions.code_facts(inputs, only=wanted, lines=False), "facts")
+    return conventions.definitions(facts, facts, code.written(code.uri_edges(facts, inputs), "uri-edges"))
 
 
 @_registered("""

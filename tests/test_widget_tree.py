@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .conftest import SMALL
 
 from braidwork.functions import calls_text, source_text
-from braidwork.plans import conventions, widget_tree
+from braidwork.plans import code, conventions, widget_tree
 from tests.test_calls import SOURCE
 
 
@@ -24,6 +24,34 @@ def test_one_pass_on_all_cores(spark, name):
     assert df.select(F.spark_partition_id().alias("p")).distinct().count() >= spark.sparkContext.defaultParallelism
 
 
+def test_names_resolve_by_file_then_library_then_imports(spark):
+    """Columns beside the question are kept; a name that many files declare is looked up in its own file and library alone."""
+    i = inputs(
+        spark, ("lib/a.dart", "library l;\nimport 'c.dart';\npart 'b.dart';\nclass W {}\nclass A {}\n"), ("lib/b.dart", "part of l;\nclass B {}\nclass A {}\n"),
+        ("lib/c.dart", "class C {}\nclass W {}\n"), ("lib/d.dart", "class D {}\nclass W {}\n"),
+    )
+    asked = [("lib/a.dart", "W"), ("lib/b.dart", "W"), ("lib/a.dart", "B"), ("lib/b.dart", "A"), ("lib/a.dart", "C"), ("lib/b.dart", "C"), ("lib/a.dart", "D"), ("lib/a.dart", "X"), ("lib/x.dart", "W"), ("lib/d.dart", "W")]
+    q = spark.createDataFrame([("p", path, name, None, k) for k, (path, name) in enumerate(asked)], "project_id string, source_path string, name string, prefix string, place int")
+    f = code.extracted(i)
+    got = {r.place: (r.status, r.basis, r.symbol_id) for r in code.resolve(f, code.uri_edges(f, i), q).collect()}
+    assert got == {
+        0: ("resolved", "same_file", "lib/a.dart::class:W"), 1: ("resolved", "same_library", "lib/a.dart::class:W"), 2: ("resolved", "same_library", "lib/b.dart::class:B"), 3: ("resolved", "same_file", "lib/b.dart::class:A"),
+        4: ("resolved", "direct_import", "lib/c.dart::class:C"), 5: ("resolved", "direct_import", "lib/c.dart::class:C"), 6: ("not_visible", None, None), 7: ("missing", None, None), 8: ("source_file_missing", None, None), 9: ("resolved", "same_file", "lib/d.dart::class:W"),
+    }
+
+
+@pytest.mark.parametrize(("name", "n"), [("code_definitions", 0)])
+def test_one_pass_before_a_shuffle(spark, name, n):
+    """n is 0 where the facts are a table before they are used."""
+    df = widget_tree.QUERIES[name](spark, SMALL)
+    assert parses(df) == n
+    assert n == 0 or "RepartitionByExpression [p_partkey" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def inputs(spark, *files):
+    return spark.createDataFrame([("p", "dart", path, text) for path, text in files], "project_id string, kind string, path string, source string")
+
+
 def test_what_is_wanted_is_what_all_facts_hold():
     whole = calls_text.facts("a.dart", SOURCE) | source_text.facts("a.dart", SOURCE)
     for field in calls_text.FIELDS:
@@ -34,7 +62,7 @@ def test_what_is_wanted_is_what_all_facts_hold():
 
 
 def test_only_prunes_the_columns(spark):
-    code = conventions.code_facts(widget_tree.tree(spark, SMALL), only=["bindings.name", "bindings.declaration_span", "constants.name"], lines=False)
-    assert code.schema.simpleString() == "struct<project_id:string,path:string,bindings:array<struct<name:string,declaration_span:struct<byte_start:bigint,byte_end:bigint>>>,constants:array<struct<name:string>>>"
-    row = code.where("path = 'lib/p7.dart'").first()
+    facts = conventions.code_facts(widget_tree.tree(spark, SMALL), only=["bindings.name", "bindings.declaration_span", "constants.name"], lines=False)
+    assert facts.schema.simpleString() == "struct<project_id:string,path:string,bindings:array<struct<name:string,declaration_span:struct<byte_start:bigint,byte_end:bigint>>>,constants:array<struct<name:string>>>"
+    row = facts.where("path = 'lib/p7.dart'").first()
     assert row.constants[0].name == "kRoot7" and "context" in {b.name for b in row.bindings}
