@@ -199,16 +199,19 @@ def inventory(code: DataFrame, facts: DataFrame) -> DataFrame:
 def bound_references(code: DataFrame) -> DataFrame:
     """Reads and writes with the innermost binding of the name at their place: (project_id, path, name, kind, byte_start, status, symbol_id).
 
-    An equi-join on file and name; the scope is a residual condition. Equal scopes and declarations are ambiguous.
+    Both are of one file, so each row of code answers for itself; nothing is joined. Equal scopes and declarations are ambiguous.
     """
-    uses = references(code).where(F.col("kind").isin("variable_read", "variable_write")).select("project_id", "path", "name", "kind", F.col("span.byte_start").alias("byte_start"))
-    b = bindings(code).select("project_id", "path", "name", "symbol_id", "scope_start", "scope_end", F.col("declaration_span.byte_start").alias("declared"))
-    inside = uses.join(b, ["project_id", "path", "name"]).where("scope_start <= byte_start and byte_start < scope_end")
-    rank = F.struct((F.col("scope_end") - F.col("scope_start")).alias("length"), (-F.col("declared")).alias("late"))
-    keys = ["project_id", "path", "name", "kind", "byte_start"]
-    best = inside.groupBy(*keys).agg(F.min(rank).alias("best"))
-    found = inside.withColumn("rank", rank).join(best, keys).where("rank = best").groupBy(*keys).agg(F.count("*").alias("n"), F.min("symbol_id").alias("symbol_id"))
-    return found.select(*keys, F.when(F.col("n") == 1, "resolved").otherwise("ambiguous").alias("status"), F.when(F.col("n") == 1, F.col("symbol_id")).alias("symbol_id"))
+    uses = F.filter("references", lambda r: r["kind"].isin("variable_read", "variable_write"))
+    r = code.where(F.size(uses) > 0).select("project_id", "path", "bindings", F.explode(uses).alias("r"))
+    r = r.select("project_id", "path", F.col("r.name").alias("name"), F.col("r.kind").alias("kind"), F.col("r.span.byte_start").alias("byte_start"), "bindings")
+    at = F.col("byte_start")
+    inside = F.filter("bindings", lambda b: (b["name"] == F.col("name")) & (b["scope_start"] <= at) & (at < b["scope_end"]))
+    rank = lambda b: F.struct((b["scope_end"] - b["scope_start"]).alias("length"), (-b["declaration_span"]["byte_start"]).alias("late"))
+    r = r.withColumn("found", F.transform(inside, lambda b: F.struct(rank(b).alias("rank"), b["symbol_id"].alias("symbol_id")))).where(F.size("found") > 0)
+    best = F.filter("found", lambda f: f["rank"] == F.array_min("found")["rank"])
+    r = r.select("project_id", "path", "name", "kind", "byte_start", best.alias("best"))
+    one = F.size("best") == 1
+    return r.select("project_id", "path", "name", "kind", "byte_start", F.when(one, "resolved").otherwise("ambiguous").alias("status"), F.when(one, F.get("best", F.lit(0))["symbol_id"]).alias("symbol_id"))
 
 
 #: The kinds of references that namespaces resolve; the others are about members and variables.

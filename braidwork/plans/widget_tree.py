@@ -152,7 +152,8 @@ select path, m.name as name, 'variable_read' as kind, (strpos(src, m.find) - 1 +
 """)
 def code_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads and writes of variables, with the innermost binding in whose scope they are."""
-    return conventions.bound_references(conventions.code_facts(tree(spark, sf_dir))).select("path", "name", "kind", "byte_start", "status", "symbol_id")
+    wanted = [*(f"references.{w}" for w in ("name", "kind", "span")), *(f"bindings.{w}" for w in ("name", "symbol_id", "declaration_span", "scope_start", "scope_end"))]
+    return conventions.bound_references(conventions.code_facts(tree(spark, sf_dir), only=wanted, lines=False)).select("path", "name", "kind", "byte_start", "status", "symbol_id")
 
 
 @_registered("""

@@ -17,7 +17,7 @@ def parses(df) -> int:
     return df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
 
 
-@pytest.mark.parametrize("name", ["code_members"])
+@pytest.mark.parametrize("name", ["code_members", "code_bindings"])
 def test_one_pass_on_all_cores(spark, name):
     df = widget_tree.QUERIES[name](spark, SMALL)
     assert parses(df) == 1
@@ -52,6 +52,12 @@ def inputs(spark, *files):
     return spark.createDataFrame([("p", "dart", path, text) for path, text in files], "project_id string, kind string, path string, source string")
 
 
+def test_a_read_is_bound_in_its_own_text(spark):
+    """Two texts under one path do not lend each other their bindings."""
+    facts = conventions.code_facts(inputs(spark, ("a.dart", "f(int x) { print(x); }"), ("a.dart", "g(int x) { print(x); }")))
+    assert {(r.status, r.symbol_id) for r in conventions.bound_references(facts).collect()} == {("resolved", "a.dart::function:f/parameter:x"), ("resolved", "a.dart::function:g/parameter:x")}
+
+
 def test_what_is_wanted_is_what_all_facts_hold():
     whole = calls_text.facts("a.dart", SOURCE) | source_text.facts("a.dart", SOURCE)
     for field in calls_text.FIELDS:
