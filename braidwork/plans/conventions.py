@@ -233,11 +233,13 @@ def definitions(code: DataFrame, facts: DataFrame, edges: DataFrame) -> DataFram
 
 def constructors(code: DataFrame) -> DataFrame:
     """(project_id, owner, constructor, symbol_id, implicit): the constructors of each class; one without any has an unnamed one of its own."""
-    m = members(code)
-    owners = m.where(F.col("kind").isin("class", "extension_type", "enum")).select("project_id", "path", F.col("name").alias("owner"), F.col("symbol_id").alias("owner_id"))
-    own = m.where("kind = 'constructor'").select("project_id", F.col("parent_symbol_id").alias("owner_id"), F.col("name").alias("constructor"), "symbol_id")
-    j = owners.join(own, ["project_id", "owner_id"], "left")
-    return j.select("project_id", "path", "owner", F.coalesce("constructor", "owner").alias("constructor"), F.coalesce("symbol_id", "owner_id").alias("symbol_id"), F.col("symbol_id").isNull().alias("implicit"))
+    m = F.col("members")
+    own = lambda o: F.transform(F.filter(m, lambda c: (c["kind"] == "constructor") & (c["parent_symbol_id"] == o["symbol_id"])), lambda c: F.struct(c["name"].alias("constructor"), c["symbol_id"].alias("symbol_id"), F.lit(False).alias("implicit")))
+    implicit = lambda o: F.array(F.struct(o["name"].alias("constructor"), o["symbol_id"].alias("symbol_id"), F.lit(True).alias("implicit")))
+    owners = code.select("project_id", "path", m, F.explode(F.filter(m, lambda o: o["kind"].isin("class", "extension_type", "enum"))).alias("o"))
+    each = owners.select("project_id", "path", F.col("o.name").alias("owner"), own(F.col("o")).alias("own"), implicit(F.col("o")).alias("implicit"))
+    each = each.select("project_id", "path", "owner", F.explode(F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("implicit"))).alias("c"))
+    return each.select("project_id", "path", "owner", "c.constructor", "c.symbol_id", "c.implicit")
 
 
 def references_to(definitions_: DataFrame) -> DataFrame:

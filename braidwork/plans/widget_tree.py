@@ -191,7 +191,8 @@ union all select path, 'W', 'W', path || '::class:W', true from files
 """)
 def code_constructors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The constructors of each class, the implicit one of a class without any included."""
-    return conventions.constructors(conventions.code_facts(tree(spark, sf_dir))).select("path", "owner", "constructor", "symbol_id", "implicit")
+    wanted = ["name", "kind", "symbol_id", "parent_symbol_id"]
+    return conventions.constructors(conventions.code_facts(tree(spark, sf_dir), only=[f"members.{w}" for w in wanted], lines=False)).select("path", "owner", "constructor", "symbol_id", "implicit")
 
 
 def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:

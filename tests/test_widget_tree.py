@@ -17,7 +17,7 @@ def parses(df) -> int:
     return df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
 
 
-@pytest.mark.parametrize("name", ["code_members", "code_bindings"])
+@pytest.mark.parametrize("name", ["code_members", "code_bindings", "code_constructors"])
 def test_one_pass_on_all_cores(spark, name):
     df = widget_tree.QUERIES[name](spark, SMALL)
     assert parses(df) == 1
@@ -58,6 +58,11 @@ def test_a_read_is_bound_in_its_own_text(spark):
     assert {(r.status, r.symbol_id) for r in conventions.bound_references(facts).collect()} == {("resolved", "a.dart::function:f/parameter:x"), ("resolved", "a.dart::function:g/parameter:x")}
 
 
+def test_a_class_has_the_constructors_of_its_own_text(spark):
+    facts = conventions.code_facts(inputs(spark, ("a.dart", "class A { A.one(); }"), ("a.dart", "class A { }")))
+    assert sorted((r.constructor, r.implicit) for r in conventions.constructors(facts).collect()) == [("A", True), ("A.one", False)]
+
+
 def test_what_is_wanted_is_what_all_facts_hold():
     whole = calls_text.facts("a.dart", SOURCE) | source_text.facts("a.dart", SOURCE)
     for field in calls_text.FIELDS:
