@@ -134,12 +134,20 @@ def _interpolated(text: Column, constants: Column) -> Column:
     return F.when(~F.exists(whole, lambda w: w.isNull()), F.array_join(whole, ""))
 
 
-def routes(code: DataFrame, facts: DataFrame) -> DataFrame:
-    """(project_id, path, constructor, route, kind, resolved, confidence, byte_start) of the calls that name a route."""
+def routes(code: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """(project_id, path, constructor, route, kind, resolved, confidence, byte_start) of the calls that name a route.
+
+    Without facts, code has the directives and constants of its files too.
+    """
     constants = F.map_from_entries(F.transform("constants", lambda c: F.struct(c["name"], c["value"])))
-    files = facts.select("project_id", "path", F.exists("directives", lambda d: (d["kind"] == "import") & d["uri"].isin(OFFICIAL)).alias("official"), F.col("constants"))
+    official = F.exists("directives", lambda d: (d["kind"] == "import") & d["uri"].isin(OFFICIAL)).alias("official")
+    named = F.filter("invocations", lambda c: F.substring_index(c["target"], ".", -1).isin("GoRoute", "Navigator", *APPLICATIONS, *NAVIGATOR)).alias("invocations")
+    if facts is None:
+        files = code.select("project_id", "path", named, official, "constants").where(F.size("invocations") > 0)
+    else:
+        files = code.select("project_id", "path", named).where(F.size("invocations") > 0).join(facts.select("project_id", "path", official, "constants"), ["project_id", "path"])
     known = files.withColumn("constants", F.expr("transform(constants, (c, k) -> if(exists(slice(constants, k + 2, size(constants)), o -> o.name = c.name), null, c))")).withColumn("constants", F.array_compact("constants"))
-    calls = invocations(code).join(known.withColumn("known", constants).drop("constants"), ["project_id", "path"])
+    calls = known.select("project_id", "path", "official", constants.alias("known"), F.explode("invocations").alias("c")).select("project_id", "path", "official", "known", "c.*")
     last = F.substring_index("target", ".", -1)
     parts = F.split("target", r"\.")
     at = F.size(parts) - F.array_position(F.reverse(parts), "Navigator") + 1  # behind the last Navigator

@@ -112,8 +112,8 @@ select path, m.constructor as constructor, m.route as route, m.kind as kind, m.r
 """)
 def code_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes of applications and navigators, interpolated from constants of the same file."""
-    inputs = tree(spark, sf_dir)
-    return conventions.routes(conventions.code_facts(inputs), code.extracted(inputs)).select("path", "constructor", "route", "kind", "resolved", "confidence")
+    facts = conventions.code_facts(tree(spark, sf_dir), only=["invocations.target", "invocations.arguments", "directives.kind", "directives.uri", "constants.name", "constants.value"], lines=False)
+    return conventions.routes(facts).select("path", "constructor", "route", "kind", "resolved", "confidence")
 
 
 @_registered(f"""
