@@ -178,19 +178,28 @@ def routes(code: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     return r.withColumn("confidence", F.when(F.col("dollar") & F.col("resolved").isNull(), "medium").otherwise("high")).drop("dollar").distinct()
 
 
-def themes(code: DataFrame, facts: DataFrame) -> DataFrame:
-    """(project_id, path, kind, expression, byte_start): themes made, and the slots that take them, in files that import material."""
-    material = facts.where(F.exists("directives", lambda d: (d["kind"] == "import") & (d["uri"] == OFFICIAL[0]))).select("project_id", "path")
-    calls = invocations(code).join(material, ["project_id", "path"], "left_semi")
+def themes(code: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """(project_id, path, kind, expression, byte_start): themes made, and the slots that take them, in files that import material.
+
+    Without facts, code has the directives of its files too.
+    """
+    material = F.exists("directives", lambda d: (d["kind"] == "import") & (d["uri"] == OFFICIAL[0]))
+    if facts is None:
+        calls = invocations(code.where(material))
+    else:
+        calls = invocations(code).join(facts.where(material).select("project_id", "path"), ["project_id", "path"], "left_semi")
     parts = F.split("target", r"\.")
     n = F.size(parts)
     tail = lambda k: F.array_join(F.slice(parts, F.greatest(n - k + 1, F.lit(1)), k), ".")
-    made = calls.withColumn("kind", F.coalesce(_mapped(THEMES, tail(2)), _mapped(THEMES, tail(1)))).where("kind is not null").select("project_id", "path", "kind", F.lit(None).cast("string").alias("expression"), F.col("span.byte_start").alias("byte_start"))
-    app = calls.where((tail(1) == "MaterialApp") | (tail(2) == "MaterialApp.router"))
-    slots = app.select("project_id", "path", F.explode("arguments").alias("a")).withColumn("kind", _mapped(THEME_SLOTS, F.col("a.name"))).where("kind is not null")
-    data = calls.withColumn("kind", _mapped({"Theme": "theme_data_slot", "AnimatedTheme": "animated_theme_data_slot"}, tail(1))).where("kind is not null").withColumn("a", _named("data")).where("a is not null")
-    shape = lambda df: df.select("project_id", "path", "kind", F.col("a.expression").alias("expression"), F.col("a.byte_start").alias("byte_start"))
-    return made.unionByName(shape(slots)).unionByName(shape(data))
+    none = F.lit(None).cast("string")
+    row = lambda kind, expression, start: F.struct(kind.alias("kind"), expression.alias("expression"), start.alias("byte_start"))
+    made = F.array(row(F.coalesce(_mapped(THEMES, tail(2)), _mapped(THEMES, tail(1))), none, F.col("span.byte_start")))
+    app = (tail(1) == "MaterialApp") | (tail(2) == "MaterialApp.router")
+    slots = F.transform(F.when(app, F.col("arguments")), lambda a: row(_mapped(THEME_SLOTS, a["name"]), a["expression"], a["byte_start"]))
+    data = _named("data")
+    datas = F.array(F.when(data.isNotNull(), row(_mapped({"Theme": "theme_data_slot", "AnimatedTheme": "animated_theme_data_slot"}, tail(1)), data["expression"], data["byte_start"])))
+    found = F.filter(F.concat(made, F.coalesce(slots, F.array()), datas), lambda t: t["kind"].isNotNull())
+    return calls.select("project_id", "path", F.explode(found).alias("t")).select("project_id", "path", "t.kind", "t.expression", "t.byte_start")
 
 
 def inventory(code: DataFrame, facts: DataFrame) -> DataFrame:

@@ -131,8 +131,9 @@ union all select path, 'material_app_theme', 'ThemeData(useMaterial3: true)', st
 """)
 def code_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Themes made and the slots that take them."""
-    inputs = tree(spark, sf_dir)
-    return conventions.themes(conventions.code_facts(inputs), code.extracted(inputs)).select("path", "kind", "expression", "byte_start")
+    wanted = ["target", "arguments.name", "arguments.expression", "arguments.byte_start", "span"]
+    facts = conventions.code_facts(tree(spark, sf_dir), only=[*(f"invocations.{w}" for w in wanted), "directives.kind", "directives.uri"], lines=False)
+    return conventions.themes(facts).select("path", "kind", "expression", "byte_start")
 
 
 @_registered("""
