@@ -202,15 +202,16 @@ def themes(code: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     return calls.select("project_id", "path", F.explode(found).alias("t")).select("project_id", "path", "t.kind", "t.expression", "t.byte_start")
 
 
-def inventory(code: DataFrame, facts: DataFrame) -> DataFrame:
-    """How many widgets, routes, assets and localizations a project has."""
-    each = [("flutter_widgets", assets.widgets(facts)), ("flutter_routes", routes(code, facts)), ("flutter_assets", asset_uses(code)), ("flutter_localizations", localization_uses(code))]
+def inventory(code: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """How many widgets, routes, assets and localizations a project has; without facts, code has what code.extracted gives too."""
+    facts_ = code if facts is None else facts
+    each = [("flutter_widgets", assets.widgets(facts_)), ("flutter_routes", routes(code, facts)), ("flutter_assets", asset_uses(code)), ("flutter_localizations", localization_uses(code))]
     total = None
     for name, df in each:
         one = df.select("project_id", F.lit(name).alias("what"))
         total = one if total is None else total.union(one)
     counts = total.groupBy("project_id").agg(*(F.count_if(F.col("what") == name).alias(name) for name, _ in each))
-    return facts.select("project_id").distinct().join(counts, "project_id", "left").na.fill(0)
+    return facts_.select("project_id").distinct().join(counts, "project_id", "left").na.fill(0)
 
 
 def bound_references(code: DataFrame) -> DataFrame:

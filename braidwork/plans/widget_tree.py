@@ -141,9 +141,9 @@ select 'parts' as project_id, count(*) as flutter_widgets, 4 * count(*) as flutt
 """)
 def code_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Widgets, routes, assets and localizations of the project, counted."""
-    inputs = tree(spark, sf_dir)
-    facts = code.written(conventions.code_facts(inputs), "code-facts")
-    return conventions.inventory(facts, code.extracted(inputs))
+    wanted = ["target", "arguments", "result_members", "span"]
+    only = [*(f"invocations.{w}" for w in wanted), "directives.kind", "directives.uri", "constants.name", "constants.value", "declarations"]
+    return conventions.inventory(code.written(conventions.code_facts(tree(spark, sf_dir), only=only, lines=False), "code-facts"))
 
 
 @_registered("""

@@ -40,7 +40,7 @@ def test_names_resolve_by_file_then_library_then_imports(spark):
     }
 
 
-@pytest.mark.parametrize(("name", "n"), [("code_definitions", 0), ("code_references", 0), ("code_routes", 1)])
+@pytest.mark.parametrize(("name", "n"), [("code_definitions", 0), ("code_references", 0), ("code_routes", 1), ("code_inventory", 0)])
 def test_one_pass_before_a_shuffle(spark, name, n):
     """n is 0 where the facts are a table before they are used."""
     df = widget_tree.QUERIES[name](spark, SMALL)
@@ -63,6 +63,16 @@ def test_a_class_has_the_constructors_of_its_own_text(spark):
     assert sorted((r.constructor, r.implicit) for r in conventions.constructors(facts).collect()) == [("A", True), ("A.one", False)]
 
 
+def test_routes_and_themes_are_the_same_with_facts_beside(spark):
+    text = "import 'package:flutter/material.dart';\nconst k = '/k';\nf(c) { Navigator.pushNamed(c, k); Theme(data: d); MaterialApp.router(theme: t); GoRoute(path: '/$k'); }"
+    i = inputs(spark, ("a.dart", text), ("b.dart", text.split("\n", 1)[1]))
+    code_, facts = conventions.code_facts(i), code.extracted(i)
+    both = conventions.code_facts(i, only=["invocations", "directives", "constants", "declarations"])
+    for f in (conventions.routes, conventions.themes, conventions.inventory):
+        rows = sorted(map(tuple, f(both).collect()), key=str)
+        assert rows and rows == sorted(map(tuple, f(code_, facts).collect()), key=str)
+
+
 def test_what_is_wanted_is_what_all_facts_hold():
     whole = calls_text.facts("a.dart", SOURCE) | source_text.facts("a.dart", SOURCE)
     for field in calls_text.FIELDS:
