@@ -122,7 +122,8 @@ select path, 'key' || s as key, case when s > {KEYS} then 'flutter_localization_
 def code_localizations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages that are used, against the template catalog."""
     inputs = tree(spark, sf_dir)
-    return conventions.localization_keys(conventions.code_facts(inputs), inputs).select("path", "key", "code", "byte_start")
+    uses = conventions.code_facts(inputs, only=["invocations.target", "invocations.result_members", "invocations.span"], lines=False)
+    return conventions.localization_keys(uses, inputs).select("path", "key", "code", "byte_start")
 
 
 @_registered("""

@@ -40,7 +40,7 @@ def test_names_resolve_by_file_then_library_then_imports(spark):
     }
 
 
-@pytest.mark.parametrize(("name", "n"), [("code_definitions", 0), ("code_references", 0), ("code_routes", 1), ("code_inventory", 0)])
+@pytest.mark.parametrize(("name", "n"), [("code_definitions", 0), ("code_references", 0), ("code_routes", 1), ("code_inventory", 0), ("code_localizations", 1)])
 def test_one_pass_before_a_shuffle(spark, name, n):
     """n is 0 where the facts are a table before they are used."""
     df = widget_tree.QUERIES[name](spark, SMALL)
