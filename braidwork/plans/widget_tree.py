@@ -91,7 +91,7 @@ select path, m.target as target, m.n as n_arguments, c || '/method:' || m.inside
 """)
 def code_invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every call of every dotted chain, with its arguments counted and the innermost callable around it."""
-    calls = conventions.invocations(conventions.code_facts(tree(spark, sf_dir)))
+    calls = conventions.invocations(conventions.code_facts(tree(spark, sf_dir), only=["invocations.target", "invocations.arguments.byte_start", "invocations.result_members", "invocations.enclosing_symbol_id", "invocations.span"], lines=False))
     return calls.select("path", "target", F.size("arguments").alias("n_arguments"), "enclosing_symbol_id", F.col("span.byte_start").alias("byte_start"), F.array_join("result_members", ",").alias("result_members"))
 
 
