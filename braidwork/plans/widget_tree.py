@@ -100,7 +100,8 @@ select path, 'image_asset' as source, 'img/' || k || '.png' as asset, 'pk' || s
 """)
 def code_asset_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls that name an asset, with their package."""
-    return conventions.asset_uses(conventions.code_facts(tree(spark, sf_dir))).select("path", "source", "asset", "package", "byte_start")
+    wanted = ["target", "arguments.name", "arguments.expression", "arguments.string_value", "span"]
+    return conventions.asset_uses(conventions.code_facts(tree(spark, sf_dir), only=[f"invocations.{w}" for w in wanted], lines=False)).select("path", "source", "asset", "package", "byte_start")
 
 
 @_registered("""

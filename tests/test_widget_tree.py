@@ -17,7 +17,7 @@ def parses(df) -> int:
     return df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
 
 
-@pytest.mark.parametrize("name", ["code_members", "code_bindings", "code_constructors", "code_themes", "code_invocations"])
+@pytest.mark.parametrize("name", ["code_members", "code_bindings", "code_constructors", "code_themes", "code_invocations", "code_asset_uses"])
 def test_one_pass_on_all_cores(spark, name):
     df = widget_tree.QUERIES[name](spark, SMALL)
     assert parses(df) == 1
