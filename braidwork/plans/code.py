@@ -156,41 +156,60 @@ def part_links(facts: DataFrame, edges: DataFrame) -> DataFrame:
 
 def owners(facts: DataFrame, links: DataFrame) -> DataFrame:
     """(project_id, path, owner): a matched part of a sole owner belongs to it, a contested one to nobody, all others to themselves."""
-    claimed = links.where("status = 'matched'").groupBy("project_id", F.col("part_path").alias("path")).agg(F.min("owner_path").alias("lo"), F.max("owner_path").alias("hi"))
-    j = facts.select("project_id", "path").join(claimed, ["project_id", "path"], "left")
-    return j.select("project_id", "path", F.when(F.col("lo").isNull(), F.col("path")).when(F.col("lo") == F.col("hi"), F.col("lo")).alias("owner"))
+    j = facts.select("project_id", "path").join(_claims(links), ["project_id", "path"], "left")
+    return j.select("project_id", "path", _owner("path").alias("owner"))
+
+
+def _claims(links: DataFrame) -> DataFrame:
+    """(project_id, path, lo, hi): the first and last owner of each matched part."""
+    return links.where("status = 'matched'").groupBy("project_id", F.col("part_path").alias("path")).agg(F.min("owner_path").alias("lo"), F.max("owner_path").alias("hi"))
+
+
+def _owner(path: str) -> Column:
+    """The owner of a file that was joined to its claims, if it has any."""
+    return F.when(F.col("lo").isNull(), F.col(path)).when(F.col("lo") == F.col("hi"), F.col("lo"))
 
 
 def _lets_through(name: Column, combinators: Column) -> Column:
     return F.coalesce(F.forall(combinators, lambda c: F.when(c["kind"] == "show", F.array_contains(c["names"], name)).otherwise(~F.array_contains(c["names"], name))), F.lit(True))
 
 
-def resolve(facts: DataFrame, edges: DataFrame, queries: DataFrame) -> DataFrame:
+def resolve(facts: DataFrame, edges: DataFrame, queries: DataFrame, resolved_only: bool = False) -> DataFrame:
     """queries (project_id, source_path, name, prefix) with status, basis and the sole candidate; other columns are kept.
 
     A declaration of the same file comes first, then of the same library, then what imports make visible,
     through exports with their show and hide; the first of these that has any decides.
     Each query meets its own file once, which decides those of the same file; the others look up libraries
     of several files, imports and names that are declared anywhere, by equi-joins whose small sides are tables of their own.
+    Queries with ``own`` come from files of facts and know the ids of the declarations there; they meet only the parts that have an owner.
+    resolved_only: rows of other statuses are left out, and so is what tells those apart.
     """
-    more = [c for c in queries.columns if c not in ("project_id", "source_path", "name", "prefix")]
-    owner = written(owners(facts, part_links(facts, edges)), "library-owners")
-    named = F.transform("declarations", lambda d: F.struct(d["name"].alias("name"), d["symbol_id"].alias("symbol_id"))).alias("declarations")
-    files = facts.select("project_id", "path", named).join(owner, ["project_id", "path"])
+    more = [c for c in queries.columns if c not in ("project_id", "source_path", "name", "prefix", "own")]
+    claims = written(_claims(part_links(facts, edges)), "library-claims")
+    of = lambda c: claims.withColumnRenamed("path", c)
+    files = facts.select("project_id", "path", "declarations").join(claims, ["project_id", "path"], "left").withColumn("owner", _owner("path"))
     decls = written(files.select("project_id", "path", "owner", F.explode("declarations").alias("d")).select("project_id", "path", "owner", "d.name", "d.symbol_id"), "declared")
-    at_home = files.select("project_id", F.col("path").alias("source_path"), F.col("owner").alias("home"), "declarations", F.lit(True).alias("is_file"))
-    own = F.array_distinct(F.transform(F.filter("declarations", lambda d: F.col("prefix").isNull() & (d["name"] == F.col("name"))), lambda d: d["symbol_id"]))
-    home = queries.join(at_home, ["project_id", "source_path"], "left").withColumn("own", F.coalesce(own, F.array().cast("array<string>"))).drop("declarations")
+    if "own" in queries.columns:
+        home = queries.join(of("source_path"), ["project_id", "source_path"], "left").withColumn("home", _owner("source_path")).withColumn("is_file", F.lit(True)).drop("lo", "hi")
+    else:
+        named = F.transform("declarations", lambda d: F.struct(d["name"].alias("name"), d["symbol_id"].alias("symbol_id"))).alias("declarations")
+        at_home = files.select("project_id", F.col("path").alias("source_path"), F.col("owner").alias("home"), named, F.lit(True).alias("is_file"))
+        own = F.array_distinct(F.transform(F.filter("declarations", lambda d: F.col("prefix").isNull() & (d["name"] == F.col("name"))), lambda d: d["symbol_id"]))
+        home = queries.join(at_home, ["project_id", "source_path"], "left").withColumn("own", F.coalesce(own, F.array().cast("array<string>"))).drop("declarations")
+    several = claims.where("lo = hi and lo <> path").select("project_id", F.col("lo").alias("owner")).distinct()
+    used = edges.where("resolution = 'resolved' and condition is null")
+    imports = used.where("kind = 'import'").join(of("source_path"), ["project_id", "source_path"], "left").select(
+        "project_id", _owner("source_path").alias("home"), F.col("prefix").alias("i_prefix"), "is_deferred", "combinators", F.col("target_path").alias("node")
+    )
+    imports = written(imports, "imports")
+    settled = home.where(F.size("own") == 1)
+    if resolved_only:  # a name that is not its file's can only come from a library of several files or by an import
+        able = written(several.withColumnRenamed("owner", "home").union(imports.select("project_id", "home")).distinct(), "able")
+        home = home.where(F.size("own") == 0).join(able, ["project_id", "home"], "left_semi").select(*home.columns)
     home = written(home.withColumn("q", F.monotonically_increasing_id()), "symbol-queries")
     open_ = home.where((F.size("own") == 0) & F.col("home").isNotNull())
-    several = owner.where("path <> owner").select("project_id", "owner").distinct()
     shared = written(decls.join(several, ["project_id", "owner"]).select("project_id", "name", F.col("owner").alias("home"), "path", "symbol_id"), "shared")
     fellow = open_.where("prefix is null").join(shared, ["project_id", "name", "home"]).where(F.col("path") != F.col("source_path")).select("q", F.lit(1).alias("tier"), "symbol_id", F.lit("same_library").alias("basis"))
-    used = edges.where("resolution = 'resolved' and condition is null")
-    imports = used.where("kind = 'import'").join(owner.select("project_id", F.col("path").alias("source_path"), F.col("owner").alias("home")), ["project_id", "source_path"]).select(
-        "project_id", "home", F.col("prefix").alias("i_prefix"), "is_deferred", "combinators", F.col("target_path").alias("node")
-    )
-    imports = written(imports, "imports")
     starts = open_.where(~F.col("name").startswith("_")).join(imports, ["project_id", "home"]).where(F.col("prefix").eqNullSafe(F.col("i_prefix")) & (F.col("prefix").isNotNull() | ~F.col("is_deferred")) & _lets_through(F.col("name"), F.col("combinators")))
     exports = written(used.where("kind = 'export'").select("project_id", F.col("source_path").alias("src"), F.col("target_path").alias("dst"), "combinators"), "exports")
     roots = written(starts.select("project_id", "q", "name", "node").distinct(), "import-roots")
@@ -200,6 +219,9 @@ def resolve(facts: DataFrame, edges: DataFrame, queries: DataFrame) -> DataFrame
     each = fellow.unionByName(brought).groupBy("q", "tier", "symbol_id").agg(F.min("basis").alias("basis"))  # direct_import sorts before re_export
     counted = each.groupBy("q", "tier").agg(F.count("*").alias("n"), F.min(F.struct("symbol_id", "basis")).alias("c"))
     best = written(counted.groupBy("q").agg(F.min(F.struct("tier", "n", "c")).alias("b")), "best")
+    if resolved_only:
+        one = home.join(best, "q").where("b.n = 1").select("project_id", "source_path", "name", "prefix", F.lit("resolved").alias("status"), F.col("b.c.basis").alias("basis"), F.col("b.c.symbol_id").alias("symbol_id"), *more)
+        return settled.select("project_id", "source_path", "name", "prefix", F.lit("resolved").alias("status"), F.lit("same_file").alias("basis"), F.get("own", F.lit(0)).alias("symbol_id"), *more).union(one)
     asked = home.where(F.size("own") == 0).select("project_id", "name").distinct()
     anywhere = written(decls.select("project_id", "name").distinct().join(asked, ["project_id", "name"], "left_semi").withColumn("anywhere", F.lit(True)), "named-anywhere")
     out = home.join(best, "q", "left").join(anywhere, ["project_id", "name"], "left")

@@ -21,7 +21,8 @@ _SCHEMA = (
     f"bindings array<struct<name: string, kind: string, symbol_id: string, enclosing_symbol_id: string, declaration_span: {_SPAN}, scope_start: long, scope_end: long>>, "
     f"invocations array<struct<target: string, arguments: array<{_ARGUMENT}>, result_members: array<string>, enclosing_symbol_id: string, span: {_SPAN}>>, "
     f"references array<struct<name: string, prefix: string, kind: string, confidence: string, enclosing_symbol_id: string, span: {_SPAN}>>, "
-    f"problems array<struct<code: string, severity: string, span: {_SPAN}>>"
+    f"problems array<struct<code: string, severity: string, span: {_SPAN}>>, "
+    "names array<struct<name: string, prefix: string, n: int, own: array<string>, places: array<struct<byte_start: long, kind: string>>>>"
 )
 
 
@@ -232,23 +233,27 @@ def bound_references(code: DataFrame) -> DataFrame:
     return r.select("project_id", "path", "name", "kind", "byte_start", F.when(one, "resolved").otherwise("ambiguous").alias("status"), F.when(one, F.get("best", F.lit(0))["symbol_id"]).alias("symbol_id"))
 
 
-#: The kinds of references that namespaces resolve; the others are about members and variables.
-NAMESPACE_KINDS = ["invocation_target", "constructor_target", "type_annotation", "parameter_type", "return_type", "variable_type"]
-
-
 def definitions(code: DataFrame, facts: DataFrame, edges: DataFrame) -> DataFrame:
-    """The declaration that each namespace reference means: (project_id, path, byte_start, name, prefix, kind, status, basis, symbol_id)."""
+    """The declaration that each namespace reference means: (project_id, path, byte_start, name, prefix, kind, status, basis, symbol_id). code: facts with ``names``."""
     from . import code as linking
 
-    refs = F.filter("references", lambda r: r["kind"].isin(NAMESPACE_KINDS))
-    names = F.array_distinct(F.transform("refs", lambda r: F.struct(r["name"].alias("name"), r["prefix"].alias("prefix"))))
-    each = code.select("project_id", "path", refs.alias("refs")).select("project_id", "path", "refs", F.explode(names).alias("n"))
-    places = F.transform(F.filter("refs", lambda r: (r["name"] == F.col("n.name")) & r["prefix"].eqNullSafe(F.col("n.prefix"))), lambda r: F.struct(r["span"]["byte_start"].alias("byte_start"), r["kind"].alias("kind")))
-    asked = each.select("project_id", F.col("path").alias("source_path"), "n.name", "n.prefix", places.alias("places"))  # a name is asked for once a file
-    found = linking.resolve(facts, edges, asked).withColumn("p", F.explode("places"))
+    found = linking.resolve(facts, edges, _asked(code, "places")).withColumn("p", F.explode("places"))
     return found.select("project_id", F.col("source_path").alias("path"), "p.byte_start", "name", "prefix", "p.kind", "status", "basis", "symbol_id")
 
 
+def resolved_names(code: DataFrame, facts: DataFrame, edges: DataFrame) -> DataFrame:
+    """definitions that are resolved, a row for each name of a file with their number: (project_id, path, name, prefix, n, status, basis, symbol_id)."""
+    from . import code as linking
+
+    found = linking.resolve(facts, edges, _asked(code, "n"), resolved_only=True)
+    return found.select("project_id", F.col("source_path").alias("path"), "name", "prefix", "n", "status", "basis", "symbol_id")
+
+
+def _asked(code: DataFrame, *more: str) -> DataFrame:
+    """The names of each file, each asked for once; those that it declares itself are known from its own text."""
+    return code.select("project_id", "path", F.explode("names").alias("a")).select("project_id", F.col("path").alias("source_path"), "a.name", "a.prefix", "a.own", *(f"a.{c}" for c in more))
+
+
 def constructors(code: DataFrame) -> DataFrame:
     """(project_id, owner, constructor, symbol_id, implicit): the constructors of each class; one without any has an unnamed one of its own."""
     m = F.col("members")
@@ -261,8 +266,9 @@ def constructors(code: DataFrame) -> DataFrame:
 
 
 def references_to(definitions_: DataFrame) -> DataFrame:
-    """How often, and in how many files, each declaration is referred to, by references that mean it alone."""
-    return definitions_.where("status = 'resolved'").groupBy("project_id", "symbol_id").agg(F.count("*").alias("n_references"), F.count_distinct("path").alias("n_files"))
+    """How often, and in how many files, each declaration is referred to, by references that mean it alone; a row of resolved_names counts for its n."""
+    each = F.sum("n") if "n" in definitions_.columns else F.count("*")
+    return definitions_.where("status = 'resolved'").groupBy("project_id", "symbol_id").agg(each.alias("n_references"), F.count_distinct("path").alias("n_files"))
 
 
 def localization_keys(code: DataFrame, inputs: DataFrame) -> DataFrame:
@@ -294,4 +300,4 @@ def localization_keys(code: DataFrame, inputs: DataFrame) -> DataFrame:
     return uses.select("project_id", "path", "key", "byte_start", problem.alias("code"))
 
 
-__all__ = ["asset_uses", "bound_references", "code_facts", "constructors", "definitions", "inventory", "localization_keys", "localization_uses", "members", "references", "references_to", "routes", "themes", "written"]
+__all__ = ["asset_uses", "bound_references", "code_facts", "constructors", "definitions", "inventory", "localization_keys", "localization_uses", "members", "references", "references_to", "resolved_names", "routes", "themes", "written"]

@@ -169,15 +169,16 @@ select path, name, prefix, kind, case when symbol_id is null then 'missing' else
 """)
 def code_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The declaration that each name of a call, a constructor or a type clause means."""
-    found = _definitions(spark, sf_dir)
+    found = conventions.definitions(*_named(spark, sf_dir, "places"))
     return found.select("path", "name", "prefix", "kind", "status", "basis", "symbol_id")
 
 
-def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _named(spark: SparkSession, sf_dir: str, how: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Facts with the names that files ask for, twice, and the edges between files."""
     inputs = tree(spark, sf_dir)
-    wanted = ["references.name", "references.prefix", "references.kind", "references.span", "library", "part_of_uri", "part_of_name", "directives", "parts", "declarations"]
+    wanted = ["names.name", "names.prefix", "names.own", f"names.{how}", "library", "part_of_uri", "part_of_name", "directives", "parts", "declarations.name", "declarations.symbol_id"]
     facts = code.written(conventions.code_facts(inputs, only=wanted, lines=False), "facts")
-    return conventions.definitions(facts, facts, code.written(code.uri_edges(facts, inputs), "uri-edges"))
+    return facts, facts, code.written(code.uri_edges(facts, inputs), "uri-edges")
 
 
 @_registered("""
@@ -185,7 +186,7 @@ select path || '::class:W' as symbol_id, 2::bigint as n_references, 1::bigint as
 """)
 def code_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each declaration is referred to."""
-    return conventions.references_to(_definitions(spark, sf_dir)).select("symbol_id", "n_references", "n_files")
+    return conventions.references_to(conventions.resolved_names(*_named(spark, sf_dir, "n"))).select("symbol_id", "n_references", "n_files")
 
 
 @_registered("""

@@ -87,3 +87,44 @@ def test_only_prunes_the_columns(spark):
     assert facts.schema.simpleString() == "struct<project_id:string,path:string,bindings:array<struct<name:string,declaration_span:struct<byte_start:bigint,byte_end:bigint>>>,constants:array<struct<name:string>>>"
     row = facts.where("path = 'lib/p7.dart'").first()
     assert row.constants[0].name == "kRoot7" and "context" in {b.name for b in row.bindings}
+
+
+def test_names_are_the_namespace_references_once_each():
+    whole = calls_text.facts("a.dart", SOURCE)
+    kinds = {"invocation_target", "constructor_target", "type_annotation"}
+    want: dict = {}
+    for r in whole["references"]:
+        if r["kind"] in kinds:
+            want.setdefault((r["name"], r["prefix"]), []).append((r["span"]["byte_start"], r["kind"]))
+    got = calls_text.wanted("a.dart", SOURCE, ["names"])["names"]
+    assert {(n["name"], n["prefix"]): [(p["byte_start"], p["kind"]) for p in n["places"]] for n in got} == {k: sorted(v) for k, v in want.items()}
+    assert all(n["n"] == len(n["places"]) for n in got)
+    assert {n["name"]: n["own"] for n in got if n["own"]} == {"Page": ["a.dart::class:Page"]}
+    assert all("places" not in n for n in calls_text.wanted("a.dart", SOURCE, ["names", "names.n"])["names"])
+
+
+def test_reference_counts_come_from_files_libraries_and_imports(spark):
+    """What resolved_names leaves out counts for nothing: the counts are those over all definitions, and own names are joined to no file."""
+    i = inputs(
+        spark, ("lib/a.dart", "library l;\nimport 'e.dart';\nimport 'c.dart' as q;\npart 'b.dart';\nclass W {}\nvoid f() { W(); B(); C(); D(); X(); q.C(); }\n"),
+        ("lib/b.dart", "part of l;\nclass B {}\nvoid g() { W(); W(); B(); C(); }\n"), ("lib/c.dart", "class C {}\nclass W {}\n"),
+        ("lib/d.dart", "class D extends W {}\nclass W {}\nvoid h() { W(); C(); T(); }\nclass T {}\nclass T {}\n"), ("lib/e.dart", "export 'c.dart' show C;\n"),
+    )
+    fields = ["names", "library", "part_of_uri", "part_of_name", "directives", "parts", "declarations"]
+    f = code.written(conventions.code_facts(i, only=fields), "facts")
+    state = f, f, code.written(code.uri_edges(f, i), "uri-edges")
+    rows = lambda df: {r.symbol_id: (r.n_references, r.n_files) for r in conventions.references_to(df).collect()}
+    got = rows(conventions.resolved_names(*state))
+    assert got == rows(conventions.definitions(*state))
+    assert got == {"lib/a.dart::class:W": (3, 2), "lib/b.dart::class:B": (2, 2), "lib/c.dart::class:C": (3, 2), "lib/d.dart::class:W": (2, 1)}
+    statuses = {(r.path, r.name): (r.status, r.basis) for r in conventions.definitions(*state).collect() if r.prefix is None}
+    assert statuses["lib/a.dart", "C"] == ("resolved", "re_export") and statuses["lib/a.dart", "D"][0] == "not_visible" and statuses["lib/a.dart", "X"][0] == "missing" and statuses["lib/d.dart", "T"][0] == "ambiguous"
+
+
+def test_lines_that_tell_nothing_are_passed_over():
+    """Marks, parts and constants are found as before among lines without any, and constants only where they are wanted."""
+    text = "library a.b;\nint x = 1;\n  import 'p.dart'\n    show Q;\npart 'c.dart';\nfinal k = 'v';\nf() {}\n<<<<<<< ours\n// import 'no.dart';\nexport 'z.dart'"
+    got = source_text.facts("a.dart", text)
+    assert (got["library"], [d["uri"] for d in got["directives"]], [p["uri"] for p in got["parts"]], [c["name"] for c in got["constants"]]) == ("a.b", ["p.dart", "z.dart"], ["c.dart"], ["k"])
+    assert [d["code"] for d in got["diagnostics"]] == ["merge_conflict_marker", "directive_missing_semicolon"]
+    assert calls_text.wanted("a.dart", text, ["directives"]) | {"constants": got["constants"]} == got
