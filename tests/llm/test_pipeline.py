@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import corpus_pipeline
-from braidwork.llm import packing
+from braidwork.llm import common, packing
 from braidwork.llm.common import written
 
 from . import fixtures
@@ -65,3 +65,11 @@ def test_stages_on_an_empty_table(spark):
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         docs = written(stage(spark, docs, SMALL), f"none-{k}")
     assert docs.count() == 0
+
+
+def test_the_driver_trims_its_native_memory_before_each_table(spark, monkeypatch):
+    said = []
+    trim = common.trim_native
+    monkeypatch.setattr(common, "trim_native", lambda s: said.append(trim(s)))
+    assert common.written(spark.range(3), "trimmed").count() == 3
+    assert len(said) == 1 and said[0].startswith("Trim native heap")
